@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from apiarium.llm import common, decontamination, exact_dedup, mixing, sharding
+from apiarium.llm import common, decontamination, exact_dedup, mixing, ngram_join, sharding
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(common.documents(spark, sf_dir))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +30,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_join": op3_ngram_join,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op9_mixing": op9_mixing,

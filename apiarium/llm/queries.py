@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from apiarium.llm import common, decontamination, exact_dedup, mixing, ngram_join, sharding
+from apiarium.llm import common, decontamination, exact_dedup, langid, mixing, ngram_join, quality, sharding
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    held_out = common.fold_of(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +29,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(common.documents(spark, sf_dir), shards=40)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    held_out = common.fold_of(F.col("doc_id"), 4) == 2
+    model = quality.fit(docs, common.labels(spark, sf_dir).filter(~held_out))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(common.documents(spark, sf_dir))
 
@@ -30,9 +46,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op3_ngram_join": op3_ngram_join,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }

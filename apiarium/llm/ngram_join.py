@@ -14,8 +14,9 @@ below is stored:
 - A token of one group's union only cannot link two groups: it counts, but is not compared.
 - A query class meets a block (about ``BLOCK_SIZE`` members of a group, near in size) if
   one of its first tokens is in the union of the members' first tokens and the sizes allow
-  it. The block is opened, member by member, where the bound on its overlap with the block's
-  union reaches the threshold; the pairs that survive are compared with their whole sets.
+  it. The block is opened, for the members no larger than the query, where the overlap with
+  the block's union reaches the threshold. This works on half hashes, whose overlaps are
+  upper bounds; the pairs that survive are compared with their whole sets.
 
 Links within a group are known, so a family of thousands of near copies costs one comparison
 for each member, and all pairs are never made. The result is exact: no cap on candidates, on
@@ -103,8 +104,9 @@ def _full(words: int):
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, off in textcore.blocks(batch.column(1)):
-                sets = [u.tobytes() for u in shingle_sets(data, off, words)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sets, pa.binary())], names=["rep", "tokens"])
+                sets = shingle_sets(data, off, words)
+                low = [np.sort(u.astype(np.uint32)).tobytes() for u in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(low, pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())], names=["rep", "low", "tokens"])
 
     return run
 
@@ -122,17 +124,14 @@ def _linked(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids whose whole sets link.
+def whole_sets(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(rep, low, tokens): the whole sets of the documents named, and the low halves of their hashes."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    return materialize(texts.mapInArrow(_full(words), "rep long, low binary, tokens binary").dropDuplicates(["rep"]), "sets")
 
-    Only the texts that a pair names are shingled again. Each pair moves its two sets once.
-    """
-    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-    if pairs.isEmpty():
-        return pairs
-    named = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "named")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_full(words), "rep long, tokens binary").dropDuplicates(["rep"]), "sets")
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets link; each pair moves its two sets once."""
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a")
     both = both.join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(_linked(percent), "a long, b long")
@@ -165,66 +164,74 @@ def _leaders(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(percent: int):
-    """Pairs of a query and a member that the overlap with the block's union, then with the member, doesn't rule out."""
+    """Pairs of a query and a member of a block that their sets of half hashes don't rule out.
+
+    Half hashes can only add to an overlap, so what they say is an upper bound.
+    """
 
     def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [np.zeros((0, 2), np.int64)]
         if len(queries) and len(members):
-            sets = [np.asarray(t) for t in members["m_toks"]]
-            union = np.unique(np.concatenate(sets))
+            sets = [np.frombuffer(t, dtype=np.uint32) for t in members["m_low"]]
+            owner = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+            held = np.concatenate(sets)
+            order = np.argsort(held, kind="stable")
+            held, owner = held[order], owner[order]
             ids, sizes, groups = members["m_rep"].to_numpy(), members["m_n"].to_numpy(), members["m_grp"].to_numpy()
-            for rep, n, grp, toks in zip(queries["rep"], queries["n"], queries["grp"], queries["toks"], strict=True):
-                q = np.asarray(toks)
-                q = q[q < LATE]
-                over = np.isin(q, union, assume_unique=True)
-                if len(q) - int(over.sum()) > n - -(-percent * n // 100):  # too much is missing from every member
+            for rep, n, grp, low in zip(queries["rep"], queries["n"], queries["grp"], queries["low"], strict=True):
+                q = np.frombuffer(low, dtype=np.uint32)
+                lo, hi = np.searchsorted(held, q, "left"), np.searchsorted(held, q, "right")
+                if int((hi > lo).sum()) < -(-percent * n // 100):  # the block's union holds too little of it
                     continue
-                for r, m, g, t in zip(ids, sizes, groups, sets, strict=True):
-                    if g == grp or 100 * min(n, m) < percent * max(n, m):
-                        continue
-                    t = t[t < LATE]
-                    both = len(np.intersect1d(q, t, assume_unique=True))
-                    union_most = (n + m) * 100 // (100 + percent)  # the largest union that the threshold allows
-                    if len(q) + len(t) - 2 * both <= 2 * union_most - n - m:
-                        out.append((max(rep, r), min(rep, r)))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                count = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                near = (groups != grp) & (100 * both >= percent * (n + sizes - both))
+                if near.any():
+                    r = ids[near]
+                    out.append(np.column_stack([np.maximum(r, rep), np.minimum(r, rep)]))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
     return lambda key, q, m: run(q, m)
 
 
-def candidates(rows: DataFrame, sketches: DataFrame, sizes: DataFrame, found: DataFrame | None, percent: int) -> DataFrame:
-    """Every pair (a, b) of classes of different groups that may link."""
+def candidates(rows: DataFrame, sizes: DataFrame, docs: DataFrame, found: DataFrame | None, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes of different groups that all but surely link, and the sets of all classes that were compared."""
     rows = _grouped(rows, found)
     held = rows.select("tok", "grp").distinct()
     lists = held.groupBy("tok").agg(F.count("*").alias("groups")).filter("groups > 1")
-    lists = lists.withColumn("rank", F.when(F.col("tok") < LATE, F.col("groups")).otherwise(F.lit(1 << 62)))
-    rows = rows.join(lists.select("tok", "rank"), "tok")
+    # tokens that the same classes hold say the same, so they are compared as one
+    holders = rows.groupBy("tok").agg(F.bit_xor(F.xxhash64("rep")).alias("holders"))
+    lists = lists.join(holders, "tok").withColumn("rank", F.when(F.col("tok") < LATE, F.col("groups")).otherwise(F.lit(1 << 62)))
+    rows = rows.join(lists.select("tok", "rank", "holders"), "tok")
     early = F.sum((F.col("tok") < LATE).cast("long")).over(Window.partitionBy("rep"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("rank", "tok"))
     rows = rows.withColumn("place", place).withColumn("early", early).join(sizes, "rep")
     # tokens of one group come first and fill places without being compared
-    alone = F.col("m") - F.col("early")
-    rows = rows.filter((F.col("tok") >= LATE) | (alone + F.col("place") <= _slack(F.col("n"), percent) + 1))
-    rows = materialize(rows.select("tok", "rep", "grp", "n"), "matrix")
-    members = rows.select("rep", "grp", "n").distinct().withColumn("class", F.floor(F.log("n") / math.log(1.1)))
+    place = F.col("m") - F.col("early") + F.col("place")
+    # against classes of at most its size a class shows its first tokens, against larger ones fewer will do
+    small = place <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    rows = rows.filter((F.col("tok") >= LATE) | (place <= _slack(F.col("n"), percent) + 1))
+    rows = rows.groupBy("holders", "rep", "grp", "n").agg(F.max(small | (F.col("tok") >= LATE)).alias("small"))
+    rows = materialize(rows, "matrix")
+    members = rows.filter("small").select("rep", "grp", "n").distinct().withColumn("class", F.floor(F.log("n") / math.log(1.1)))
     many = members.groupBy("grp", "class").agg(F.ceil(F.count("*") / BLOCK_SIZE).alias("many"))
     members = members.join(many, ["grp", "class"]).withColumn("block", F.struct("class", F.pmod(F.xxhash64("rep"), F.col("many")).alias("bin"))).drop("class", "many")
     members = materialize(members, "members")
-    matrix = rows.join(members.select("rep", "block"), "rep").groupBy("tok", "grp", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asks = rows.select("tok", "rep", F.col("grp").alias("own"), "n")
-    near = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
-    meets = asks.join(matrix, "tok").filter((F.col("own") < F.col("grp")) & near).select("rep", F.col("own"), "n", "grp", "block").distinct()
-    toks = sketches.select("rep", "toks")
+    matrix = rows.filter("small").join(members.select("rep", "block"), "rep").groupBy("holders", "grp", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    asks = rows.select("holders", "rep", F.col("grp").alias("own"), "n")
+    near = (F.col("n") >= F.col("least")) & (F.col("most") * 100 >= F.col("n") * percent)
+    meets = asks.join(matrix, "holders").filter((F.col("own") != F.col("grp")) & near).select("rep", F.col("own"), "n", "grp", "block").distinct()
     meets = materialize(meets, "meets")
+    sets = whole_sets(materialize(meets.select("rep").union(members.select("rep")).distinct(), "compared"), docs, words)
     hot = meets.groupBy("grp", "block").agg(F.ceil(F.count("*") / 2048).alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")
-    meets = meets.join(hot, ["grp", "block"])
-    asked = meets.select("rep", F.col("own").alias("grp"), "n", F.col("grp").alias("bg"), F.col("block").alias("bb"), part).join(toks, "rep")
+    asked = meets.join(hot, ["grp", "block"]).select("rep", F.col("own").alias("grp"), "n", F.col("grp").alias("bg"), F.col("block").alias("bb"), part).join(sets.select("rep", "low"), "rep")
     blocks = members.join(hot, ["grp", "block"]).select("rep", "grp", "n", F.col("grp").alias("bg"), F.col("block").alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    blocks = blocks.join(sketches.select(F.col("rep"), F.col("toks").alias("held")), "rep")
-    blocks = blocks.toDF("m_rep", "m_grp", "m_n", "m_bg", "m_bb", "m_part", "m_toks")
+    blocks = blocks.join(sets.select(F.col("rep"), F.col("low").alias("held")), "rep")
+    blocks = blocks.toDF("m_rep", "m_grp", "m_n", "m_bg", "m_bb", "m_part", "m_low")
     keys = ["bg", "bb", "part"]
-    return asked.groupBy(*keys).cogroup(blocks.groupBy(*[f"m_{k}" for k in keys])).applyInPandas(_open(percent), "a long, b long")
+    return asked.groupBy(*keys).cogroup(blocks.groupBy(*[f"m_{k}" for k in keys])).applyInPandas(_open(percent), "a long, b long").distinct(), sets
 
 
 def join(docs: DataFrame, *, words: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
@@ -244,12 +251,16 @@ def join(docs: DataFrame, *, words: int = 5, percent: int = 80, rounds: int = 3)
     sizes = materialize(sketches.select("rep", "n", F.size(F.filter("toks", lambda t: t < LATE)).cast("long").alias("m")), "sizes")
     links, found = None, None
     for _ in range(rounds):
-        new = materialize(verified(_leaders(_grouped(rows, found), sizes, percent), docs, words, percent), "group-links")
+        pairs = materialize(_leaders(_grouped(rows, found), sizes, percent).distinct(), "leaders")
+        if pairs.isEmpty():
+            break
+        named = materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "named")
+        new = materialize(verified(pairs, whole_sets(named, docs, words), percent), "group-links")
         if new.isEmpty():
             break
         links = new if links is None else links.union(new)
         found = materialize(components(links), "groups")
-    new = verified(candidates(rows, sketches, sizes, found, percent), docs, words, percent)
+    new = verified(*candidates(rows, sizes, docs, found, words, percent), percent)
     links = new if links is None else links.union(new)
     found = materialize(components(links), "components").select(F.col("node").alias("rep"), "component")
     out = rep.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

@@ -8,7 +8,8 @@ a temperature fitted on a part of them that training does not see.
 
 Vectors come from all documents: each task adds up a BUCKETS x DIM table, tables are summed by
 row in a shuffle (never on one task), and the finished table (BUCKETS * DIM * 4 bytes, fixed)
-is broadcast. Labelled rows are bounded by ``max_labelled``, chosen by a hash of doc_id.
+is broadcast. Labelled rows are bounded by ``max_labelled`` (in expectation, a few per cent
+more at most), chosen by a hash of doc_id.
 
 Defined cases: null text is an empty text; an empty text has the zero vector and gets the
 score that the network gives it; a doc_id without label trains nothing; repeated labels of a
@@ -189,7 +190,7 @@ def _features(shared):
     return run
 
 
-def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "quality", max_labelled: int = 40_000, seed: int = 5) -> Model:
+def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "quality", max_labelled: int = 20_000, seed: int = 5) -> Model:
     """``docs``: all rows, for the word vectors; ``labelled``: (doc_id, label) rows to learn from."""
     table = word_vectors(docs)
     labelled = labelled.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
@@ -197,7 +198,8 @@ def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "quality", max_lab
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
     labelled = labelled.filter(u < min(1.0, max_labelled / max(n, 1)))
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    rows = docs.select("doc_id", "text").join(labelled, "doc_id").select(F.col("label").cast("double"), "text")
+    # the sample is bounded by max_labelled, so it goes to the texts, which stay where they are
+    rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").select(F.col("label").cast("double"), "text")
     got = rows.mapInArrow(_features(shared), "label double, x array<float>").toArrow()
     y = got["label"].to_numpy()
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64) if len(y) else np.zeros((0, FEATURES))

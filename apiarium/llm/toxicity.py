@@ -7,14 +7,14 @@ either dictionary. Where the toxic dictionary saves bytes, the window repeats to
 savings of a document's windows (largest ones, how many pass each threshold) give the score
 through a logistic calibration on labelled rows that the dictionaries have not seen.
 
-A word is toxic text if it stands after several different words in toxic documents and,
-for the size of either class, hardly in ordinary ones; counting different neighbours rather
-than documents keeps the words of copied documents out. Both dictionaries place common words
+A word is toxic text if toxic documents have it, each counted once, after several different
+words and, for the size of either class, ordinary ones hardly do; counting the neighbours of
+first places keeps out what is frequent by copies or within one document only. Both dictionaries place common words
 at the same distance, so that they differ by the toxic words alone.
 
-``per_class`` labelled rows of each class, about, make the dictionaries and as many calibrate;
-they are chosen by a hash of doc_id. Words in a dictionary are bounded by ``common`` and
-``specific``.
+``per_class`` labelled rows of each class, about, make the dictionaries and as many calibrate
+(of few rows, 65 and 35 per cent); they are chosen by a hash of doc_id. Words in a dictionary
+are bounded by ``common``, ``near`` and ``specific``.
 
 Defined cases: null text is empty; text without a letter has no window and gets the score of
 zero savings; repeated labels of a doc_id count once, the larger one; without labels of both
@@ -24,6 +24,7 @@ a window of its own; repeated rows score alike; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from apiarium.llm import textcore
 
 WINDOW = 48
-FEATURES = 10
+FEATURES = 12
 #: Letters stay (lower-cased, non-ASCII bytes as they are), every other byte is a space.
 FOLD = np.full(256, 32, dtype=np.uint8)
 FOLD[97:123] = FOLD[65:91] = np.arange(97, 123)
@@ -108,27 +109,27 @@ class Compressors:
             total = np.diff(bounds)
             for j in range(2):  # the largest savings
                 some = total > j
-                out[some, 4 * k + j] = gain[bounds[:-1][some] + j]
-            for j, least in enumerate((4, 6)):
-                out[:, 4 * k + 2 + j] = np.log1p(np.bincount(row[gain >= least], minlength=n))
-            out[:, 8 + k] = np.log1p(total)
+                out[some, 5 * k + j] = gain[bounds[:-1][some] + j]
+            for j, least in enumerate((4, 5, 6)):
+                out[:, 5 * k + 2 + j] = np.log1p(np.bincount(row[gain >= least], minlength=n))
+            out[:, 10] = np.log1p(total)
         # both cuts say the same: the larger and the smaller of each pair
-        a, b = out[:, :4].copy(), out[:, 4:8].copy()
-        out[:, :4], out[:, 4:8] = np.maximum(a, b), np.minimum(a, b)
-        out[:, 9] = np.maximum(out[:, 0] - 4, 0) ** 2 / 4
+        a, b = out[:, :5].copy(), out[:, 5:10].copy()
+        out[:, :5], out[:, 5:10] = np.maximum(a, b), np.minimum(a, b)
+        out[:, 11] = np.maximum(out[:, 0] - 4, 0) ** 2 / 4
         return out
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, neighbour, label): the distinct pairs of a word and the word before it."""
+    """(word, pair, label): each word of a document, once, paired with the word before its first place."""
     for batch in batches:
         label = np.asarray(batch.column(0))
         for i, _, data, off in textcore.blocks(batch.column(1)):
             s, e, row = textcore.words(data, off, IS_LETTER)
             h = textcore.span_hashes(data, s, e)
             g, at = textcore.grams(h, row, 2)
-            kind = label[i + row[at]].astype(np.uint64)
-            _, one = np.unique(g * np.uint64(2) + kind, return_index=True)
+            _, one = np.unique(textcore.mix(h[at + 1] + row[at].astype(np.uint64)), return_index=True)
+            kind = label[i + row[at]]
             text = FOLD[data].tobytes()
             at = at[one] + 1
             names = pa.array([text[a:b].decode("utf-8", "replace") for a, b in zip(s[at], e[at], strict=True)], pa.string())
@@ -174,22 +175,37 @@ def _features(shared):
     return run
 
 
-def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "toxic", per_class: int = 4000, common: int = 1200, specific: int = 2000, seed: int = 9) -> Model:
+def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "toxic", per_class: int = 4000, common: int = 1200, near: int = 1500, specific: int = 1000, seed: int = 9) -> Model:
     labelled = labelled.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     if not (n.get(0) and n.get(1)):
         return Model(None, constant=1.0 if n.get(1) else 0.0)
-    rate = {k: min(0.5, per_class / n[k]) for k in (0, 1)}
+    # rows for the dictionaries come first in the order of the hash, then those for the calibration
+    rate = {k: min(0.65, per_class / n[k]) for k in (0, 1)}
+    more = {k: min(1 - rate[k], rate[k]) for k in (0, 1)}
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
     mine = F.when(F.col("label") == 1, F.lit(rate[1])).otherwise(F.lit(rate[0]))
-    labelled = labelled.withColumn("part", F.floor(u / mine)).filter("part < 2")
-    rows = docs.select("doc_id", "text").join(labelled, "doc_id")
+    both = F.when(F.col("label") == 1, F.lit(rate[1] + more[1])).otherwise(F.lit(rate[0] + more[0]))
+    labelled = labelled.filter(u < both).withColumn("part", F.when(u < mine, 0).otherwise(1))
+    # the sample is bounded by per_class, so it goes to the texts, which stay where they are
+    rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")
     pairs = rows.filter("part = 0").select("label", "text").mapInArrow(_words, "word string, pair long, label int").distinct()
     pairs = pairs.groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o"))
     total = pairs.agg(F.sum("t"), F.sum("o")).first()
     odds = F.log((F.col("t") + 0.5) / (total[0] or 1)) - F.log((F.col("o") + 0.5) / (total[1] or 1))
-    own = pairs.filter((F.col("t") >= 4) & (odds > 3)).orderBy(F.desc("t"), "word").limit(specific).collect()
+    # so many that chance makes a word of either class appear in toxic documents alone once in 60,000 words
+    share = (total[0] or 1) / ((total[0] or 0) + (total[1] or 0) + 1)
+    least = max(4, math.ceil(11 / -math.log(share)))
+    own = pairs.filter((F.col("t") >= least) & (odds > 3)).orderBy(F.desc("t"), "word").limit(specific).collect()
     base = pairs.orderBy(F.desc("o"), "word").limit(common).collect()
+    # ordinary words that hold a part of a toxic word: both dictionaries have them, so that a part saves nothing
+    parts = {w[i : i + 4] for r in own for w in [f" {r['word']} "] for i in range(len(w) - 3)}
+    inside = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.concat(F.lit(" "), F.col("word"), F.lit(" ")), i, F.lit(4)))
+    close = pairs.filter((F.col("o") >= 2) & (odds < 1) & (F.length("word") >= 3)).filter(F.exists(inside, lambda g: g.isin(sorted(parts)))) if parts else pairs.limit(0)
+    close = close.orderBy(F.desc("o"), "word").limit(near).collect()
+    known = {r["word"] for r in base}
+    base += [r for r in close if r["word"] not in known]
+    base.sort(key=lambda r: (-r["o"], r["word"]))
     made = Compressors(dictionaries([r["word"] for r in reversed(base)], [r["word"] for r in reversed(own)]))
     shared = docs.sparkSession.sparkContext.broadcast(made)
     got = rows.filter("part = 1").select(F.col("label").cast("double"), "text").mapInArrow(_features(shared), "label double, x array<double>").toPandas()
@@ -198,7 +214,7 @@ def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "toxic", per_class
     y, x = got["label"].to_numpy(), np.stack(got["x"].to_numpy())
     order = np.lexsort((*x.T, y))  # the same rows in the same order, however they came
     y, x = y[order], x[order]
-    return Model(made, *calibrate(x, y, np.where(y == 1, 1 / rate[1], 1 / rate[0]) * min(rate.values())))
+    return Model(made, *calibrate(x, y, np.where(y == 1, 1 / more[1], 1 / more[0]) * min(more.values())))
 
 
 def _score(shared):

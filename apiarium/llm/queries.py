@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiarium.llm import common, decontamination, exact_dedup, langid, mixing, ngram_join, quality, sharding, toxicity
+from apiarium.llm import common, decontamination, exact_dedup, langid, mixing, ngram_join, pii, quality, sharding, toxicity
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(common.documents(spark, sf_dir)))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_language_id": op2_language_id,
     "op3_ngram_join": op3_ngram_join,
     "op4_toxicity": op4_toxicity,

@@ -12,8 +12,8 @@ below is stored:
   a class needs to show its tokens under RATE only (a few more where they are too few), and
   a passage that many groups hold comes late and is rarely needed.
 - A token of one group's union only cannot link two groups: it counts, but is not compared.
-- A query class meets a block (about ``BLOCK_SIZE`` members of a group, near in size) if
-  one of its first tokens is in the union of the members' first tokens and the sizes allow
+- A query class meets a block (about ``BLOCK_SIZE`` members of one large group, or of small
+  groups that hold the same frequent token, near in size) if one of its first tokens is in the union of the members' first tokens and the sizes allow
   it. The block is opened, for the members no larger than the query, where the overlap with
   the block's union reaches the threshold. This works on half hashes, whose overlaps are
   upper bounds; the pairs that survive are compared with their whole sets.
@@ -201,9 +201,12 @@ def candidates(rows: DataFrame, sizes: DataFrame, docs: DataFrame, found: DataFr
     held = rows.select("tok", "grp").distinct()
     lists = held.groupBy("tok").agg(F.count("*").alias("groups")).filter("groups > 1")
     # tokens that the same classes hold say the same, so they are compared as one
-    holders = rows.groupBy("tok").agg(F.bit_xor(F.xxhash64("rep")).alias("holders"))
+    holders = rows.groupBy("tok").agg(F.bit_xor(F.xxhash64("rep")).alias("holders"), F.min("rep").alias("lead"))
     lists = lists.join(holders, "tok").withColumn("rank", F.when(F.col("tok") < LATE, F.col("groups")).otherwise(F.lit(1 << 62)))
-    rows = rows.join(lists.select("tok", "rank", "holders"), "tok")
+    rows = rows.join(lists.select("tok", "rank", "holders", "lead", "groups"), "tok")
+    # classes that are alike but not known to link are put together by the leader of their most frequent token
+    alike = F.max_by("lead", F.struct("groups", "lead")).over(Window.partitionBy("rep"))
+    rows = rows.withColumn("alike", alike).drop("lead", "groups")
     early = F.sum((F.col("tok") < LATE).cast("long")).over(Window.partitionBy("rep"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("rank", "tok"))
     rows = rows.withColumn("place", place).withColumn("early", early).join(sizes, "rep")
@@ -212,26 +215,30 @@ def candidates(rows: DataFrame, sizes: DataFrame, docs: DataFrame, found: DataFr
     # against classes of at most its size a class shows its first tokens, against larger ones fewer will do
     small = place <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
     rows = rows.filter((F.col("tok") >= LATE) | (place <= _slack(F.col("n"), percent) + 1))
-    rows = rows.groupBy("holders", "rep", "grp", "n").agg(F.max(small | (F.col("tok") >= LATE)).alias("small"))
+    rows = rows.groupBy("holders", "rep", "grp", "n", "alike").agg(F.max(small | (F.col("tok") >= LATE)).alias("small"))
     rows = materialize(rows, "matrix")
-    members = rows.filter("small").select("rep", "grp", "n").distinct().withColumn("class", F.floor(F.log("n") / math.log(1.1)))
-    many = members.groupBy("grp", "class").agg(F.ceil(F.count("*") / BLOCK_SIZE).alias("many"))
-    members = members.join(many, ["grp", "class"]).withColumn("block", F.struct("class", F.pmod(F.xxhash64("rep"), F.col("many")).alias("bin"))).drop("class", "many")
+    members = rows.filter("small").select("rep", "grp", "n", "alike").distinct()
+    large = members.groupBy("grp").agg(F.count("*").alias("of_group")).filter(F.col("of_group") > BLOCK_SIZE // 2)
+    members = members.join(large, "grp", "left").withColumn("alike", F.when(F.col("of_group").isNotNull(), F.col("grp")).otherwise(F.col("alike")))
+    members = members.select("rep", "grp", "n", F.struct("alike", F.floor(F.log("n") / math.log(1.1)).alias("class"), F.col("of_group").isNotNull().alias("linked")).alias("kind"))
+    many = members.groupBy("kind").agg(F.ceil(F.count("*") / BLOCK_SIZE).alias("many"))
+    bin_ = F.pmod(F.when(F.col("kind.linked"), F.xxhash64("rep")).otherwise(F.xxhash64("grp")), F.col("many"))
+    members = members.join(many, "kind").select("rep", "grp", "n", F.struct("kind.*", bin_.alias("bin")).alias("block"))
     members = materialize(members, "members")
-    matrix = rows.filter("small").join(members.select("rep", "block"), "rep").groupBy("holders", "grp", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asks = rows.select("holders", "rep", F.col("grp").alias("own"), "n")
+    matrix = rows.filter("small").join(members.select("rep", "block"), "rep").groupBy("holders", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    asks = rows.select("holders", "rep", "grp", "n")
     near = (F.col("n") >= F.col("least")) & (F.col("most") * 100 >= F.col("n") * percent)
-    meets = asks.join(matrix, "holders").filter((F.col("own") != F.col("grp")) & near).select("rep", F.col("own"), "n", "grp", "block").distinct()
+    meets = asks.join(matrix, "holders").filter(((F.col("grp") != F.col("lo")) | (F.col("grp") != F.col("hi"))) & near).select("rep", "grp", "n", "block").distinct()
     meets = materialize(meets, "meets")
     sets = whole_sets(materialize(meets.select("rep").union(members.select("rep")).distinct(), "compared"), docs, words)
-    hot = meets.groupBy("grp", "block").agg(F.ceil(F.count("*") / 2048).alias("parts"))
+    hot = meets.groupBy("block").agg(F.ceil(F.count("*") / 2048).alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")
-    asked = meets.join(hot, ["grp", "block"]).select("rep", F.col("own").alias("grp"), "n", F.col("grp").alias("bg"), F.col("block").alias("bb"), part).join(sets.select("rep", "low"), "rep")
-    blocks = members.join(hot, ["grp", "block"]).select("rep", "grp", "n", F.col("grp").alias("bg"), F.col("block").alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    asked = meets.join(hot, "block").select("rep", "grp", "n", "block", part).join(sets.select("rep", "low"), "rep")
+    blocks = members.join(hot, "block").select("rep", "grp", "n", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     blocks = blocks.join(sets.select(F.col("rep"), F.col("low").alias("held")), "rep")
-    blocks = blocks.toDF("m_rep", "m_grp", "m_n", "m_bg", "m_bb", "m_part", "m_low")
-    keys = ["bg", "bb", "part"]
-    return asked.groupBy(*keys).cogroup(blocks.groupBy(*[f"m_{k}" for k in keys])).applyInPandas(_open(percent), "a long, b long").distinct(), sets
+    blocks = blocks.toDF("m_rep", "m_grp", "m_n", "m_block", "m_part", "m_low")
+    opened = asked.groupBy("block", "part").cogroup(blocks.groupBy("m_block", "m_part")).applyInPandas(_open(percent), "a long, b long")
+    return opened.distinct(), sets
 
 
 def join(docs: DataFrame, *, words: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:

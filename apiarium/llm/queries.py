@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiarium.llm import common, decontamination, exact_dedup, langid, mixing, ngram_join, pii, quality, sharding, toxicity
+from apiarium.llm import common, decontamination, exact_dedup, langid, lm, mixing, ngram_join, pii, quality, sharding, toxicity
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(common.documents(spark, sf_dir), shards=40)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    held_out = common.fold_of(F.col("doc_id"), 5) == 1
+    model, counts = lm.fit(docs.filter(~held_out))
+    return lm.score(docs, model, counts).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     held_out = common.fold_of(F.col("doc_id"), 4) == 2
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,

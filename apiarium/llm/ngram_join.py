@@ -46,7 +46,7 @@ from apiarium.llm.components import components
 from apiarium.scratch import materialize
 
 RATE = 0.3
-BLOCK_SIZE = 32
+BLOCK_SIZE = 256
 LIMIT = np.uint64(int(RATE * 2**64))
 #: Hashes are kept as signed numbers in the order of the unsigned ones.
 FLIP = np.uint64(1 << 63)

@@ -255,12 +255,12 @@ def convert(fragment: str | None) -> str | None:
     return re.sub(r"[ \t]+", " ", r.out).rstrip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _convert(s: pd.Series) -> pd.Series:
     return s.map(convert, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode(s: pd.Series) -> pd.Series:
     return s.map(decode, na_action="ignore")
 
@@ -357,6 +357,6 @@ def display_generic(uid: str | None) -> str | None:
     return f"{short(uid[:at])}<{', '.join(display_generic(p.strip()) for p in parts)}>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def display_constructed(s: pd.Series) -> pd.Series:
     return s.map(display_generic, na_action="ignore")

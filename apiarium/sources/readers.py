@@ -32,7 +32,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_config(spark: SparkSession, path: str, known: list[str]) -> DataFrame:
     """A JSON configuration: one column for each known key as JSON text, and ``extra``, a map of the others as they are."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("j"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\uFEFF", "").alias("j"))
     # comments and trailing commas are allowed
     clean = F.regexp_replace(F.regexp_replace("j", r'(?s)("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', "$1"), r",(\s*[\]}])", "$1")
     m = F.from_json(clean, "map<string,string>")
@@ -57,7 +57,7 @@ def write_ids(rows: DataFrame, path: str, order: str) -> None:
 
 def read_documentation(spark: SparkSession, path: str) -> DataFrame:
     """(path, member_id, fragment) of documentation files; the last of repeated ids wins, a truncated tail is left out."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "^﻿", "").alias("x"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "^\\uFEFF", "").alias("x"))
     return member_fragments(raw, "path", F.col("x"))
 
 

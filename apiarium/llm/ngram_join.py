@@ -46,7 +46,8 @@ from apiarium.llm.components import components
 from apiarium.scratch import materialize
 
 RATE = 0.3
-BLOCK_SIZE = 256
+BLOCK_SIZE = 512
+BLOCK_TOKENS = 1 << 20
 LIMIT = np.uint64(int(RATE * 2**64))
 #: Hashes are kept as signed numbers in the order of the unsigned ones.
 FLIP = np.uint64(1 << 63)
@@ -220,8 +221,8 @@ def candidates(rows: DataFrame, sizes: DataFrame, docs: DataFrame, found: DataFr
     members = rows.filter("small").select("rep", "grp", "n", "alike").distinct()
     large = members.groupBy("grp").agg(F.count("*").alias("of_group")).filter(F.col("of_group") > BLOCK_SIZE // 2)
     members = members.join(large, "grp", "left").withColumn("alike", F.when(F.col("of_group").isNotNull(), F.col("grp")).otherwise(F.col("alike")))
-    members = members.select("rep", "grp", "n", F.struct("alike", F.floor(F.log("n") / math.log(1.1)).alias("class"), F.col("of_group").isNotNull().alias("linked")).alias("kind"))
-    many = members.groupBy("kind").agg(F.ceil(F.count("*") / BLOCK_SIZE).alias("many"))
+    members = members.select("rep", "grp", "n", F.struct("alike", F.floor(F.log("n") / math.log(1.25)).alias("class"), F.col("of_group").isNotNull().alias("linked")).alias("kind"))
+    many = members.groupBy("kind").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SIZE, F.sum("n") / BLOCK_TOKENS)).alias("many"))
     bin_ = F.pmod(F.when(F.col("kind.linked"), F.xxhash64("rep")).otherwise(F.xxhash64("grp")), F.col("many"))
     members = members.join(many, "kind").select("rep", "grp", "n", F.struct("kind.*", bin_.alias("bin")).alias("block"))
     members = materialize(members, "members")
@@ -231,7 +232,7 @@ def candidates(rows: DataFrame, sizes: DataFrame, docs: DataFrame, found: DataFr
     meets = asks.join(matrix, "holders").filter(((F.col("grp") != F.col("lo")) | (F.col("grp") != F.col("hi"))) & near).select("rep", "grp", "n", "block").distinct()
     meets = materialize(meets, "meets")
     sets = whole_sets(materialize(meets.select("rep").union(members.select("rep")).distinct(), "compared"), docs, words)
-    hot = meets.groupBy("block").agg(F.ceil(F.count("*") / 2048).alias("parts"))
+    hot = meets.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / 2048, F.sum("n") / (4 * BLOCK_TOKENS))).alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")
     asked = meets.join(hot, "block").select("rep", "grp", "n", "block", part).join(sets.select("rep", "low"), "rep")
     blocks = members.join(hot, "block").select("rep", "grp", "n", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))

@@ -271,10 +271,14 @@ def find(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     return made.mapInArrow(_decide(model, threshold), "doc_id long, spans array<struct<kind:byte,start:long,end:long,base:boolean>>")
 
 
+def _of_kind(k: int):
+    return lambda s: s["kind"] == F.lit(k)
+
+
 def digest(found: DataFrame) -> DataFrame:
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"].cast("int") + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
+    counts = [F.size(F.filter(base, _of_kind(k))).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 

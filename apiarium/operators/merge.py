@@ -59,10 +59,13 @@ def fold_subsets(groups: DataFrame, *, key: str, members: str, rank: str) -> Dat
     return chosen.unionByName(empty).select(F.col("k").alias(key), "canonical")
 
 
+def _with_missing(mine: Column, theirs: Column) -> Column:
+    return F.concat(mine, F.filter(theirs, lambda p: ~F.exists(mine, lambda c: c["name"] == p["name"])))
+
+
 def merge_documentation(child: Column, parent: Column, fields: list[str], keyed: list[str]) -> Column:
     """Child fields where they are not empty, else the parent's; keyed entries of the parent whose key the child lacks follow."""
     out = [F.coalesce(F.nullif(child[f], F.lit("")), parent[f]).alias(f) for f in fields]
     for f in keyed:
-        mine, theirs = F.coalesce(child[f], F.array()), F.coalesce(parent[f], F.array())
-        out.append(F.concat(mine, F.filter(theirs, lambda p, mine=mine: ~F.exists(mine, lambda c: c["name"] == p["name"]))).alias(f))
+        out.append(_with_missing(F.coalesce(child[f], F.array()), F.coalesce(parent[f], F.array())).alias(f))
     return F.struct(*out)

@@ -24,12 +24,12 @@ def extract(catalog: DataFrame, broadcast: DataFrame | None = None) -> DataFrame
 
 def build_indexes(types: DataFrame) -> dict[str, DataFrame]:
     """derived, extensions and inherited of a merged catalog."""
-    rows = types.select(F.col("uid").alias("type_uid"), "is_static", F.posexplode("members").alias("ord", "m"))
-    members = rows.select("type_uid", "is_static", "ord", "m.*")
+    rows = types.select(F.col("uid").alias("type_uid"), F.col("is_static").alias("host_is_static"), F.posexplode("members").alias("ord", "m"))
+    members = rows.select("type_uid", "host_is_static", "ord", "m.*")
     first = F.get("parameters", F.lit(0))["type"]["uid"]
     return {
         "derived": indexes.derived(types, base=F.col("base.uid"), order=[F.col("full_name"), F.col("uid")], reference=F.struct(F.col("name").alias("display_name"), F.col("uid"))),
-        "extensions": indexes.extensions(members, host_is_static=F.col("is_static"), is_extension=F.col("is_extension"), target=first, order=[F.col("type_uid"), F.col("ord")], member=F.col("uid")),
+        "extensions": indexes.extensions(members, host_is_static=F.col("host_is_static"), is_extension=F.col("is_extension"), target=first, order=[F.col("type_uid"), F.col("ord")], member=F.col("uid")),
         "inherited": indexes.inherited(types.select("uid", F.col("base.uid").alias("base_uid"), F.col("object_kind").alias("kind")), members.select("type_uid", "ord", "uid", "name")),
     }
 

@@ -112,7 +112,7 @@ def _df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _centroids(idf: np.ndarray, k: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        v = vectors(counts(list(frame["text"])), idf)
+        v = vectors(counts(sorted(frame["text"])), idf)
         v = v[(v > 0).any(axis=1)]
         if not len(v):
             return pd.DataFrame({"lang": [], "centroids": [], "floor": []})

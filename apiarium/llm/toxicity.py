@@ -9,7 +9,8 @@ through a logistic calibration on labelled rows that the dictionaries have not s
 
 A word is toxic text if toxic documents have it, each counted once, after several different
 words and, for the size of either class, ordinary ones hardly do; counting the neighbours of
-first places keeps out what is frequent by copies or within one document only. Both dictionaries place common words
+first places keeps out what is frequent by copies or within one document only. Beginnings of
+words are judged alike, by all words that have them, and bring those words along. Both dictionaries place common words
 at the same distance, so that they differ by the toxic words alone.
 
 ``per_class`` labelled rows of each class, about, make the dictionaries and as many calibrate
@@ -34,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apiarium.llm import textcore
+from apiarium.scratch import materialize
 
 WINDOW = 48
-FEATURES = 12
+HEAD = 7
+FEATURES = 14
 #: Letters stay (lower-cased, non-ASCII bytes as they are), every other byte is a space.
 FOLD = np.full(256, 32, dtype=np.uint8)
 FOLD[97:123] = FOLD[65:91] = np.arange(97, 123)
@@ -51,19 +54,33 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=made, compression_params=params)
 
 
+def spelled(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Folded text with the first ``HEAD`` letters of each word as capitals, so that the end of one word is no match for the beginning of another."""
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    np.add.at(edge, s, 1)
+    np.add.at(edge, np.minimum(e, s + HEAD), -1)
+    out = FOLD[data]
+    out[(np.cumsum(edge[:-1]) > 0) & (out >= 97) & (out <= 122)] -= 32
+    return out
+
+
+def _listed(words: list[str]) -> bytes:
+    data = np.frombuffer((" " + " ".join(words) + " ").encode(), dtype=np.uint8)
+    s, e, _ = textcore.words(data, np.array([0, len(data)]), IS_LETTER)
+    return spelled(data, s, e).tobytes()
+
+
 def dictionaries(common: list[str], specific: list[str]) -> tuple[bytes, bytes]:
     """Contents of the ordinary and the toxic dictionary; the most frequent words last, where matches are cheapest."""
-    base = (" " + " ".join(common) + " ").encode()
-    toxic = (" " + " ".join(specific) + " ").encode()
+    base, toxic = _listed(common), _listed(specific)
     # what stands for the toxic words in the other dictionary matches no text; the last bytes of a dictionary are never found
     blank = np.random.default_rng(1).integers(1, 9, len(toxic)).astype(np.uint8).tobytes()
     end = bytes([1, 2, 3, 4, 5, 6, 7, 8] * 2)
     return base + blank + end, base + toxic + end
 
 
-def windows(data: np.ndarray, off: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and row of windows over b' ' + folded data + b' '; each begins and ends with a space."""
-    s, e, row = textcore.words(data, off, IS_LETTER)
+def windows(s: np.ndarray, e: np.ndarray, row: np.ndarray, off: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and row of windows of words over b' ' + folded data + b' '; each begins and ends with a space."""
     if not len(s):
         return s, s, s
     cell = (s - off[row] + shift) // WINDOW
@@ -84,10 +101,11 @@ class Compressors:
         if self.made is None:
             self.made = tuple(map(_compressor, self.contents))
         folded = np.full(len(data) + 2, 32, dtype=np.uint8)
-        folded[1:-1] = FOLD[data]
+        s, e, rows = textcore.words(data, off, IS_LETTER)
+        folded[1:-1] = spelled(data, s, e)
         text, out = folded.tobytes(), []
         for shift in (0, WINDOW // 2):
-            start, size, row = windows(data, off, shift)
+            start, size, row = windows(s, e, rows, off, shift)
             if not len(start):
                 out.append((row, np.zeros(0, np.int64)))
                 continue
@@ -109,14 +127,14 @@ class Compressors:
             total = np.diff(bounds)
             for j in range(2):  # the largest savings
                 some = total > j
-                out[some, 5 * k + j] = gain[bounds[:-1][some] + j]
-            for j, least in enumerate((4, 5, 6)):
-                out[:, 5 * k + 2 + j] = np.log1p(np.bincount(row[gain >= least], minlength=n))
-            out[:, 10] = np.log1p(total)
+                out[some, 6 * k + j] = gain[bounds[:-1][some] + j]
+            for j, least in enumerate((3, 4, 5, 6)):
+                out[:, 6 * k + 2 + j] = np.log1p(np.bincount(row[gain >= least], minlength=n))
+            out[:, 12] = np.log1p(total)
         # both cuts say the same: the larger and the smaller of each pair
-        a, b = out[:, :5].copy(), out[:, 5:10].copy()
-        out[:, :5], out[:, 5:10] = np.maximum(a, b), np.minimum(a, b)
-        out[:, 11] = np.maximum(out[:, 0] - 4, 0) ** 2 / 4
+        a, b = out[:, :6].copy(), out[:, 6:12].copy()
+        out[:, :6], out[:, 6:12] = np.maximum(a, b), np.minimum(a, b)
+        out[:, 13] = np.maximum(out[:, 0] - 4, 0) ** 2 / 4
         return out
 
 
@@ -190,13 +208,21 @@ def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "toxic", per_class
     # the sample is bounded by per_class, so it goes to the texts, which stay where they are
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")
     pairs = rows.filter("part = 0").select("label", "text").mapInArrow(_words, "word string, pair long, label int").distinct()
-    pairs = pairs.groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o"))
+    pairs = materialize(pairs.groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")), "words")
     total = pairs.agg(F.sum("t"), F.sum("o")).first()
     odds = F.log((F.col("t") + 0.5) / (total[0] or 1)) - F.log((F.col("o") + 0.5) / (total[1] or 1))
     # so many that chance makes a word of either class appear in toxic documents alone once in 60,000 words
     share = (total[0] or 1) / ((total[0] or 0) + (total[1] or 0) + 1)
     least = max(4, math.ceil(11 / -math.log(share)))
-    own = pairs.filter((F.col("t") >= least) & (odds > 3)).orderBy(F.desc("t"), "word").limit(specific).collect()
+    # the same of word beginnings, which all their words count for; a hundred times as many are tried, so twice the evidence
+    begins = pairs.select("word", "t", "o", F.explode(F.transform(F.sequence(F.lit(4), F.greatest(F.length("word"), F.lit(4))), lambda n: F.substr("word", F.lit(1), n))).alias("begin")).filter(F.length("begin") >= 4)
+    begins = begins.groupBy("begin").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).filter((F.col("t") >= 2 * least) & (odds > 3))
+    begins = [r["begin"] for r in begins.orderBy(F.desc("t"), "begin").limit(specific).collect()]
+    stems = [b for b in begins if not any(b != a and b.startswith(a) for a in begins)]
+    of_stem = F.lit(False)
+    for b in stems:
+        of_stem = of_stem | F.col("word").startswith(b)
+    own = pairs.filter((F.col("t") > 0) & (((F.col("t") >= least) & (odds > 3)) | (of_stem & (F.col("o") <= F.col("t"))))).orderBy(F.desc("t"), "word").limit(specific).collect()
     base = pairs.orderBy(F.desc("o"), "word").limit(common).collect()
     # ordinary words that hold a part of a toxic word: both dictionaries have them, so that a part saves nothing
     parts = {w[i : i + 4] for r in own for w in [f" {r['word']} "] for i in range(len(w) - 3)}

@@ -155,13 +155,14 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    def __init__(self, compressors: Compressors | None, mean=None, scale=None, weights=None, constant: float = 0.0):
-        self.compressors, self.mean, self.scale, self.weights, self.constant = compressors, mean, scale, weights, constant
+    def __init__(self, compressors: Compressors | None, mean=None, scale=None, weights=None, bounds=None, constant: float = 0.0):
+        self.compressors, self.mean, self.scale, self.weights, self.bounds, self.constant = compressors, mean, scale, weights, bounds, constant
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(off) - 1, self.constant)
-        x = (self.compressors.features(data, off) - self.mean) / self.scale
+        # what lies beyond the rows of the calibration counts as the last of them: no extrapolation for very long texts
+        x = (np.clip(self.compressors.features(data, off), *self.bounds) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -500, 500)))
 
 
@@ -240,7 +241,8 @@ def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "toxic", per_class
     y, x = got["label"].to_numpy(), np.stack(got["x"].to_numpy())
     order = np.lexsort((*x.T, y))  # the same rows in the same order, however they came
     y, x = y[order], x[order]
-    return Model(made, *calibrate(x, y, np.where(y == 1, 1 / more[1], 1 / more[0]) * min(more.values())))
+    mean, scale, weights = calibrate(x, y, np.where(y == 1, 1 / more[1], 1 / more[0]) * min(more.values()))
+    return Model(made, mean, scale, weights, (x.min(axis=0), x.max(axis=0)))
 
 
 def _score(shared):

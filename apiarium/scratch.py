@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,15 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is missing a folder of our own is set, which is only sound
-    while the executors share the driver's disk; elsewhere that is an error.
+    Where the setting is missing: in local mode, where executors share the driver's disk, a
+    temporary folder of our own, deleted at exit; on a cluster the warehouse, never a local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="apiarium-")
+    if spark.sparkContext.master.split("[")[0] == "local":
+        own = tempfile.mkdtemp(prefix="apiarium-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
+    else:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apiarium.scratch import materialize
+from apiarium.scratch import discard, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
     while True:
-        links = materialize(_small_star(_large_star(links)).distinct(), "stars")
+        stars = materialize(_small_star(_large_star(links)).distinct(), "stars")
+        discard(links)
+        links = stars
         now = links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if tuple(now) == before:
             break

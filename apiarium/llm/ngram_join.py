@@ -43,7 +43,7 @@ from pyspark.sql.window import Window
 
 from apiarium.llm import textcore
 from apiarium.llm.components import components
-from apiarium.scratch import materialize
+from apiarium.scratch import discard, materialize
 
 RATE = 0.3
 BLOCK_SIZE = 512
@@ -150,11 +150,19 @@ def _grouped(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(named, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
 
 
-def _leaders(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """For each class the class of another group that leads most of its tokens' lists, if it leads enough of them."""
+def _across(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The rows of tokens that several groups hold, with the first and the last (group, class) of the token's list.
+
+    Groups only grow, so a token of one group is out for good.
+    """
+    rows = _grouped(rows, found)
     me = F.struct("grp", "rep")
     ends = rows.groupBy("tok").agg(F.min(me).alias("first"), F.max(me).alias("last")).filter("first.grp < last.grp")
-    led = rows.join(ends, "tok")
+    return rows.join(ends, "tok")
+
+
+def _leaders(led: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """For each class the class of another group that leads most of its tokens' lists, if it leads enough of them."""
     other = F.when(F.col("first.grp") != F.col("grp"), F.col("first.rep")).otherwise(F.col("last.rep"))
     votes = led.select("rep", other.alias("lead")).groupBy("rep", "lead").agg(F.count("*").alias("votes"))
     best = votes.groupBy("rep").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead"), F.max("votes").alias("votes"))
@@ -247,7 +255,7 @@ def join(docs: DataFrame, *, words: int = 5, percent: int = 80, rounds: int = 3)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialize(ids.mapInArrow(_sketches(words, percent), "doc_id long, n long, k1 long, k2 long, toks array<long>"), "sketches")
     key = ["n", "k1", "k2"]
-    classes = sets.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    classes = materialize(sets.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "class-keys")
     rep = sets.select("doc_id", *key).filter("n > 0").join(classes, key).select("doc_id", "n", "rep")
     rep = materialize(rep, "classes")
     # the sketch of a class is that of its representative
@@ -257,18 +265,26 @@ def join(docs: DataFrame, *, words: int = 5, percent: int = 80, rounds: int = 3)
     shared = F.count("*").over(Window.partitionBy("tok"))
     rows = materialize(rows.select("tok", "rep", shared.alias("df")).filter("df > 1").drop("df"), "shared")
     sizes = materialize(sketches.select("rep", "n", F.size(F.filter("toks", lambda t: t < LATE)).cast("long").alias("m")), "sizes")
-    links, found = None, None
+    discard(classes)
+    links, found, before = None, None, rows
     for _ in range(rounds):
-        pairs = materialize(_leaders(_grouped(rows, found), sizes, percent).distinct(), "leaders")
+        led = materialize(_across(rows, found), "across")
+        discard(before)
+        before, rows = led, led.select("tok", "rep")
+        pairs = materialize(_leaders(led, sizes, percent).distinct(), "leaders")
         if pairs.isEmpty():
             break
         named = materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "named")
-        new = materialize(verified(pairs, whole_sets(named, docs, words), percent), "group-links")
+        some = whole_sets(named, docs, words)
+        new = materialize(verified(pairs, some, percent), "group-links")
+        discard(pairs, named, some)
         if new.isEmpty():
             break
         links = new if links is None else links.union(new)
         found = materialize(components(links), "groups")
-    new = verified(*candidates(rows, sizes, docs, found, words, percent), percent)
+    pairs, some = candidates(rows, sizes, docs, found, words, percent)
+    new = materialize(verified(pairs, some, percent), "last-links")
+    discard(before, sizes, sketches, some)
     links = new if links is None else links.union(new)
     found = materialize(components(links), "components").select(F.col("node").alias("rep"), "component")
     out = rep.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

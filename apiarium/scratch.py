@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SEEN: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -36,13 +40,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     lost executor, since no block of it is kept by one.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/apiarium/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _own(spark: SparkSession) -> str:
+    """This application's folder, deleted when Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _SEEN:
+        _SEEN.add(app)
+        atexit.register(_at_exit, spark)
+    return f"{shared_dir(spark)}/apiarium/{app}"
+
+
+def _at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped application's folder is left to its owner
+        with contextlib.suppress(Exception):
+            release(spark)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again, then let go of finished jobs' shuffle files.
+
+    Spark drops the files of a shuffle when the driver collects the plan that made it, which
+    may be long after a small driver's last collection.
+    """
+    for t in tables:
+        _delete(t.sparkSession, t._scratch_path)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:
     """Delete every table that this application has materialized so far."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/apiarium/{spark.sparkContext.applicationId}")
-    path.getFileSystem(conf).delete(path, True)
+    _delete(spark, _own(spark))

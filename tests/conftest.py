@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 
@@ -14,8 +16,10 @@ def spark():
 
     from apiarium.shipping import ship
 
+    scratch = tempfile.mkdtemp(prefix="apiarium-tests-")
     session = (
         SparkSession.builder.master("local[4]")
+        .config("spark.checkpoint.dir", f"file://{scratch}")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -26,3 +30,4 @@ def spark():
     ship(session)
     yield session
     session.stop()
+    shutil.rmtree(scratch, ignore_errors=True)

@@ -418,3 +418,125 @@ def content_hash(spark, sf_dir):
 def run_metrics(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
     return flatten.run_metrics(o, uid=F.col("o_custkey"), url=F.nullif("o_orderstatus", F.lit("P")), failed=F.col("o_totalprice") < 1000)
+
+
+def _values(spark: SparkSession, sf_dir: str, values) -> DataFrame:
+    """Every literal beside every region."""
+    return _t(spark, sf_dir, "region").select("r_name", F.explode(F.array(*map(F.lit, values))).alias("raw"))
+
+
+def _literal_sql(columns: str, rows: dict) -> str:
+    def lit(v):
+        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+    body = ", ".join("(" + ", ".join(map(lit, (k, *(v if isinstance(v, tuple) else (v,))))) + ")" for k, v in rows.items())
+    return f"SELECT r_name, t.* FROM region, (VALUES {body}) AS t(raw, {columns})"
+
+
+_PARSED = {"net8.0-android34": ("net", "8.0", "android34", "android"), "netstandard2.0": ("netstandard", "2.0", None, None), "net472": ("net4", "472", None, None), "net9.0-windows10.0": ("net", "9.0", "windows10.0", "windows"), "uap10-x": ("unknown", "", "x", None), "net8.0-maccatalyst": ("net", "8.0", "maccatalyst", "maccatalyst")}
+
+
+@query(_literal_sql("family, version, platform, label", _PARSED))
+def tfm_parse(spark, sf_dir):
+    x = F.col("raw")
+    return _values(spark, sf_dir, _PARSED).select("r_name", "raw", tfm.family(x).alias("family"), tfm.version(x).alias("version"), tfm.platform(x).alias("platform"), tfm.platform_label(x).alias("label"))
+
+
+_LEGACY = {"net45": True, "net461": True, "net462": False, "net48": False, "net8.0": False, "netstandard2.0": False, "junk": True, "": False}
+
+
+@query(_literal_sql("legacy", _LEGACY))
+def legacy_tfm(spark, sf_dir):
+    return _values(spark, sf_dir, _LEGACY).select("r_name", "raw", tfm.is_legacy(F.col("raw")).alias("legacy"))
+
+
+_BEST = {"net8.0": "net8.0", "net8.0-ios": "net8.0", "net7.0": "net6.0", "netstandard2.1": "netstandard2.0", "netstandard1.0": "net8.0", "net11": "net8.0", "uap10": None}
+
+
+@query(_literal_sql("best", _BEST))
+def best_reference(spark, sf_dir):
+    refs = F.array(*map(F.lit, ["net6.0", "net8.0", "netstandard2.0", "net472"]))
+    return _values(spark, sf_dir, _BEST).select("r_name", "raw", select.best_reference(F.col("raw"), refs).alias("best"))
+
+
+@query("""
+    WITH a AS (SELECT p_brand, p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'net8.0' WHEN 'SMALL' THEN 'netstandard2.0' ELSE 'net472' END AS t FROM part WHERE p_partkey % 7 < 3 OR p_type = 'SMALL'),
+         m AS (SELECT *, starts_with(t, 'net8') AS hit FROM a WHERE p_brand <> 'Brand#1' OR t <> 'net8.0')
+    SELECT p_brand, p_partkey, t FROM (SELECT *, bool_or(hit) OVER (PARTITION BY p_brand) AS has_hit FROM m) WHERE hit OR (NOT has_hit AND starts_with(t, 'netstandard'))""")
+def supported_tfms(spark, sf_dir):
+    t = F.when(F.col("p_type") == "ECONOMY", "net8.0").when(F.col("p_type") == "SMALL", "netstandard2.0").otherwise("net472")
+    p = _t(spark, sf_dir, "part").filter("p_partkey % 7 < 3 or p_type = 'SMALL'").select("p_brand", "p_partkey", t.alias("t")).filter("p_brand <> 'Brand#1' or t <> 'net8.0'")
+    return select.all_supported(p, group=["p_brand"], available=F.col("t"), preferences=["net8"])
+
+
+@query("SELECT p_brand, arg_max(v, row(s, n1, n2, v)) AS highest FROM (SELECT p_brand, p_size || '.' || (p_partkey % 30) || CASE WHEN p_partkey % 5 = 0 THEN '-rc' ELSE '' END AS v, p_partkey % 5 <> 0 AS s, p_size AS n1, p_partkey % 30 AS n2 FROM part) GROUP BY p_brand")
+def highest_version(spark, sf_dir):
+    v = F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 30).cast("string"), F.when(F.col("p_partkey") % 5 == 0, "-rc").otherwise(""))
+    return _t(spark, sf_dir, "part").select("p_brand", v.alias("v")).groupBy("p_brand").agg(F.max_by("v", select.highest_version(F.col("v"))).alias("highest"))
+
+
+@query("SELECT doc_id, trim(translate(split_part(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(13) || chr(10), chr(10)), chr(10) || chr(10), 1), chr(13) || chr(10), '  '), ' ') AS paragraph FROM documents")
+def first_paragraph(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.first_paragraph(F.col("text")).alias("paragraph"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(html, '[ \t]+', ' ', 'g'), '\s+$', '') AS collapsed FROM pages")
+def collapse_whitespace(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", text.collapse_whitespace(F.col("html")).alias("collapsed"))
+
+
+@query(r"""SELECT p_partkey, '"' || replace(replace(x, '\', '\\'), '"', '\"') || '"' AS literal, length(x) - length(replace(replace(x, '\', ''), '"', '')) AS escapes FROM (SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN '"' WHEN 1 THEN '\x"' ELSE '' END AS x FROM part)""")
+def quote_literal(spark, sf_dir):
+    tail = F.element_at(F.array(F.lit('"'), F.lit('\\x"'), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", tail).alias("x")).select("p_partkey", text.quote(F.col("x")).alias("literal"), text.escapes(F.col("x")).cast("long").alias("escapes"))
+
+
+@query("SELECT p_partkey, p_type || '(' || p_size || CASE WHEN p_size % 2 = 0 THEN ', Name=' || p_name ELSE '' END || ')' AS usage FROM part")
+def attribute_usage(spark, sf_dir):
+    size = F.struct(F.lit(None).cast("string").alias("name"), F.col("p_size").cast("string").alias("value"))
+    named = F.struct(F.lit("Name").alias("name"), F.col("p_name").alias("value"))
+    arguments = F.when(F.col("p_size") % 2 == 0, F.array(size, named)).otherwise(F.array(size))
+    return _t(spark, sf_dir, "part").select("p_partkey", text.attribute_usage(F.col("p_type"), arguments).alias("usage"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE NOT (lower(p_type) = 'promo' OR lower(p_type) LIKE 'eco%')")
+def user_exclusion(spark, sf_dir):
+    return _t(spark, sf_dir, "part").filter(~filters.matches_list(F.col("p_type"), ["Promo"], ["ECO"])).select("p_partkey", "p_name")
+
+
+@query("""
+    WITH f AS (SELECT conv_id, role, min(row(turn, text)) AS f FROM conversations GROUP BY conv_id, role)
+    SELECT conv_id AS owner, string_agg(role, ',' ORDER BY f) AS refs FROM f GROUP BY conv_id""")
+def reference_list(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    out = indexes.references(c, owner=F.col("conv_id"), tier=F.lit(0), order=F.struct("turn", "text"), uid=F.lit(""), display=F.col("role"))
+    return out.select(F.col("uid").alias("owner"), F.array_join(F.transform("references", lambda r: r["display"]), ",").alias("refs"))
+
+
+@query("""
+    SELECT c.c_custkey AS case_uid, c.c_name AS full_name, n.n_nationkey AS union_uid FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey AND 'A' || (n.n_regionkey % 2) = 'A' || (c.c_custkey % 2)""")
+def union_cases(spark, sf_dir):
+    u = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("uid"), F.lit(None).cast("long").alias("base_uid"), F.concat(F.lit("A"), (F.col("n_regionkey") % 2).cast("string")).alias("assembly_name"), F.col("n_name").alias("full_name"), F.lit("union").alias("type_kind"))
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_nationkey").cast("long").alias("base_uid"), F.concat(F.lit("A"), (F.col("c_custkey") % 2).cast("string")).alias("assembly_name"), F.col("c_name").alias("full_name"), F.lit("object").alias("type_kind"))
+    return flatten.union_cases(u.union(c)).select("case_uid", "full_name", F.col("union_uid").cast("int").alias("union_uid"))
+
+
+_PARENTS = {"T:A.B.C": ("T:A.B", "C", "T:A.B.C"), "M:A.B.Run(System.Int32)": ("M:A.B", "Run", "M:A.B.Run(System.Int32)"), "T:A.List`1": ("T:A", "List", "T:A.List"), "T:A.B{C.D}": ("T:A", "D}", "T:A.B{C.D}")}
+
+
+@query(_literal_sql("parent, short, bare", _PARENTS))
+def uid_parts(spark, sf_dir):
+    x = F.col("raw")
+    return _values(spark, sf_dir, _PARENTS).select("r_name", "raw", uid.parent_of(x).alias("parent"), uid.short_name(x).alias("short"), uid.strip_arity(x).alias("bare"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN 'static' WHEN l_returnflag = 'A' THEN 'abstract' WHEN l_returnflag = 'R' THEN 'sealed' ELSE '' END AS words FROM lineitem")
+def modifier_words(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.modifiers(F.col("l_linestatus") == "F", F.col("l_returnflag") == "A", F.col("l_returnflag") == "R").alias("words"))
+
+
+@query("""
+    WITH x AS (SELECT doc_id, text AS t, regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n+$', '') AS b FROM documents WHERE contains(text, chr(10)))
+    SELECT doc_id, '|-' || chr(10) || '  ' || replace(b, chr(10), chr(10) || '  ') AS block FROM x""")
+def yaml_block(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").filter(F.instr("text", "\n") > 0).select("doc_id", yaml.block_scalar(F.col("text"), 2).alias("block"))

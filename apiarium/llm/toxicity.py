@@ -5,7 +5,8 @@ same common language with what toxic documents have of their own. A text is cut
 windows of whole words, twice with a shift of half a window; each window is compressed with
 either dictionary. Where the toxic dictionary saves bytes, the window repeats toxic text. The
 savings of a document's windows (largest ones, how many pass each threshold) give the score
-through a logistic calibration on labelled rows that the dictionaries have not seen.
+through a logistic calibration on labelled rows that its dictionaries have not seen; the
+dictionaries of the finished model then come from all rows of the sample.
 
 A word is toxic text if toxic documents have it, each counted once, after several different
 words and, for the size of either class, ordinary ones hardly do; counting the neighbours of
@@ -194,21 +195,9 @@ def _features(shared):
     return run
 
 
-def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "toxic", per_class: int = 4000, common: int = 1200, near: int = 1500, specific: int = 1000, seed: int = 9) -> Model:
-    labelled = labelled.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if not (n.get(0) and n.get(1)):
-        return Model(None, constant=1.0 if n.get(1) else 0.0)
-    # rows for the dictionaries come first in the order of the hash, then those for the calibration
-    rate = {k: min(0.65, per_class / n[k]) for k in (0, 1)}
-    more = {k: min(1 - rate[k], rate[k]) for k in (0, 1)}
-    u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
-    mine = F.when(F.col("label") == 1, F.lit(rate[1])).otherwise(F.lit(rate[0]))
-    both = F.when(F.col("label") == 1, F.lit(rate[1] + more[1])).otherwise(F.lit(rate[0] + more[0]))
-    labelled = labelled.filter(u < both).withColumn("part", F.when(u < mine, 0).otherwise(1))
-    # the sample is bounded by per_class, so it goes to the texts, which stay where they are
-    rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")
-    pairs = rows.filter("part = 0").select("label", "text").mapInArrow(_words, "word string, pair long, label int").distinct()
+def learn(rows: DataFrame, *, common: int, near: int, specific: int) -> Compressors:
+    """The two dictionaries from (label, text) rows."""
+    pairs = rows.select("label", "text").mapInArrow(_words, "word string, pair long, label int").distinct()
     pairs = materialize(pairs.groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")), "words")
     total = pairs.agg(F.sum("t"), F.sum("o")).first()
     odds = F.log((F.col("t") + 0.5) / (total[0] or 1)) - F.log((F.col("o") + 0.5) / (total[1] or 1))
@@ -233,7 +222,25 @@ def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "toxic", per_class
     known = {r["word"] for r in base}
     base += [r for r in close if r["word"] not in known]
     base.sort(key=lambda r: (-r["o"], r["word"]))
-    made = Compressors(dictionaries([r["word"] for r in reversed(base)], [r["word"] for r in reversed(own)]))
+    return Compressors(dictionaries([r["word"] for r in reversed(base)], [r["word"] for r in reversed(own)]))
+
+
+def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "toxic", per_class: int = 4000, common: int = 1200, near: int = 1500, specific: int = 1000, seed: int = 9) -> Model:
+    labelled = labelled.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if not (n.get(0) and n.get(1)):
+        return Model(None, constant=1.0 if n.get(1) else 0.0)
+    # rows for the dictionaries come first in the order of the hash, then those for the calibration
+    rate = {k: min(0.65, per_class / n[k]) for k in (0, 1)}
+    more = {k: min(1 - rate[k], rate[k]) for k in (0, 1)}
+    u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
+    mine = F.when(F.col("label") == 1, F.lit(rate[1])).otherwise(F.lit(rate[0]))
+    both = F.when(F.col("label") == 1, F.lit(rate[1] + more[1])).otherwise(F.lit(rate[0] + more[0]))
+    labelled = labelled.filter(u < both).withColumn("part", F.when(u < mine, 0).otherwise(1))
+    # the sample is bounded by per_class, so it goes to the texts, which stay where they are
+    rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")
+    bounds = {"common": common, "near": near, "specific": specific}
+    made = learn(rows.filter("part = 0"), **bounds)
     shared = docs.sparkSession.sparkContext.broadcast(made)
     got = rows.filter("part = 1").select(F.col("label").cast("double"), "text").mapInArrow(_features(shared), "label double, x array<double>").toPandas()
     if not len(got) or got["label"].nunique() < 2:
@@ -242,7 +249,8 @@ def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "toxic", per_class
     order = np.lexsort((*x.T, y))  # the same rows in the same order, however they came
     y, x = y[order], x[order]
     mean, scale, weights = calibrate(x, y, np.where(y == 1, 1 / more[1], 1 / more[0]) * min(more.values()))
-    return Model(made, mean, scale, weights, (x.min(axis=0), x.max(axis=0)))
+    # calibrated on rows that its dictionaries had not seen, the model then has the words of all rows
+    return Model(learn(rows, **bounds), mean, scale, weights, (x.min(axis=0), x.max(axis=0)))
 
 
 def _score(shared):

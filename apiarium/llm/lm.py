@@ -268,7 +268,8 @@ def fit(train: DataFrame, *, size: int = 256, frequent: int = 1 << 17, trainers:
     top = counts.filter(level >= least).orderBy(F.desc("n"), "word").toArrow() if least is not None else pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     h, n = top["word"].to_numpy(), top["n"].to_numpy()
     keep = h != END_HASH
-    ends = int(n[~keep].sum())
+    # the end's count is looked up by itself: it may lie below the cut of the frequent words
+    ends = int(counts.filter(F.col("word") == END_HASH).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     h, n = h[keep].view(np.uint64), n[keep]
     first = 1 + CLASSES
     number = np.where(np.arange(len(h)) < size - first, np.arange(len(h)) + first, 0)

@@ -132,6 +132,16 @@ def test_language_model_cases(spark, odd):
     assert all(r.train_tokens == 0 and math.isfinite(r.score) for r in lm.score(odd, none, counts).collect())
 
 
+def test_language_model_end_below_the_frequent_cut(spark):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words * 3))], "doc_id long, text string")
+    model, counts = lm.fit(docs, frequent=8, rounds=1, steps=2)
+    got = lm.score(docs, model, counts).first()
+    n, v = 121, 41
+    want = sum(math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in [3] * 120 + [1])
+    assert model.vocabulary.ends == 1 and abs(got.base_score - want) < 1e-6 * abs(want)
+
+
 def test_probabilities_are_normalised():
     net = lm.LogBilinear(np.full(40, 1 / 40), dim=8)
     rng = np.random.default_rng(0)

@@ -2,16 +2,18 @@
 
 Texts are sequences of lower-cased words and one end token. All training tokens are counted.
 The model predicts a token from the two before it: the context vector is the sum of their
-vectors, each passed through the weights of its position, and a word's score is the product
-with its own vector plus a bias. Its vocabulary is the end, the most frequent words and
-``CLASSES`` classes by shape (last sign, non-ASCII letters, length) for all others, ``size`` in
-all; inside its class a word has its smoothed share of the counts, and one unseen word has 0.5.
-Probabilities are normalised over the vocabulary with batched matrix products, one row for
-each distinct context of a batch.
-
-Training sees every training token: the counts of all (before, before, word) triples, a table
-of at most size ** 3 rows, are spread over ``trainers`` tasks; each runs noise-contrastive
-steps in numpy on its share, the parameters are averaged, and so on for ``rounds``.
+vectors, each passed through the weights of its position. A word's probability is that of its
+class times its own inside the class; either score is the product with a vector of its own
+plus a bias, normalised exactly by batched matrix products. The vocabulary is the end, all
+``frequent`` words that are broadcast, and ``CLASSES`` shapes (last sign, non-ASCII letters,
+length) for the rare tail; inside its shape a rare word has its smoothed share of the counts,
+and one unseen word has 0.5.
+
+Training sees every training token: the texts are dealt to ``rounds`` rounds by hash, in each
+to at most ``trainers`` tasks, and a task makes noise-contrastive steps in numpy over all its
+tokens, once, as they stream by; the parameters are averaged after each round. A task with few
+texts goes over them again until it has made ``steps`` steps. Which texts a task has follows
+the layout of the input, so the model's last digits do too.
 
 Word counts are kept by 64-bit hash. Words above a count that at most ``frequent`` words
 reach are broadcast (16 bytes each); the others' counts meet the documents' rare words in a
@@ -25,6 +27,7 @@ give equal rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,9 @@ from apiarium.scratch import materialize
 END_HASH = 63  # no word has class 63
 CLASSES = 48
 FLUSH = 1 << 21
+SLAB = 1 << 16  # tokens of a step
+HELD = 1 << 14  # times ``steps``: so many tokens a trainer holds to go over them again
+PIECE = 1 << 14
 
 #: Kind of a word's last byte: letter, full stop, comma and the like, exclamation, digit, other.
 _LAST = np.full(256, 5, dtype=np.int64)
@@ -91,7 +97,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Counts of the frequent words, model numbers of the most frequent, and the totals."""
+    """Counts and model numbers of the frequent words, and the totals."""
 
     def __init__(self, words: np.ndarray, n: np.ndarray, top: np.ndarray, ends: int, tokens: int, types: int, size: int):
         order = np.argsort(words)
@@ -106,7 +112,7 @@ class Vocabulary:
         at = np.searchsorted(self.words, h)
         at[at == len(self.words)] = 0
         ok = self.words[at] == h
-        return ok, np.where(ok, self.n[at], 0), np.where(ok & (self.top[at] > 0), self.top[at], shape)
+        return ok, np.where(ok, self.n[at], 0), np.where(ok, self.top[at], shape)
 
     def sequence(self, data: np.ndarray, off: np.ndarray):
         """Word hashes with their rows, and model numbers of all tokens (ends included) with two contexts and rows."""
@@ -129,106 +135,142 @@ class Vocabulary:
         return h, row, ok, c, seq, one, two, of
 
 
-def _triples(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        held = []
-        for batch in batches:
-            for _, _, data, off in textcore.blocks(batch.column(0)):
-                _, _, _, _, seq, one, two, _ = v.sequence(data, off)
-                held.append(np.unique((two * v.size + one) * v.size + seq, return_counts=True))
-                if sum(len(x) for x, _ in held) > FLUSH:
-                    yield _merged(held)
-                    held = []
-        if held:
-            yield _merged(held)
-
-    return run
-
-
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    code, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-    n = np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
-
-
 class LogBilinear:
-    """Context vectors, position weights, word vectors and biases."""
+    """Context vectors, position weights, and vectors and biases of classes and of the words inside them.
+
+    Words are ordered by falling share and cut into about sqrt(k) classes of equal sums of the
+    root of the share, so that frequent words have small classes and none has over about 2 sqrt(k).
+    """
 
     def __init__(self, unigram: np.ndarray, dim: int = 24, seed: int = 3):
         rng = np.random.default_rng(seed)
         k = len(unigram)
-        self.unigram = unigram
+        order = np.argsort(-unigram, kind="stable")
+        #: place of each word in that order; all parameters are kept by place
+        self.place = np.empty(k, np.int64)
+        self.place[order] = np.arange(k)
+        self.unigram = np.asarray(unigram, dtype=float)
+        share = self.unigram[order]
+        root = np.cumsum(np.sqrt(share))
+        _, self.own = np.unique(np.floor((root - np.sqrt(share) / 2) / root[-1] * math.ceil(math.sqrt(k))).astype(np.int64), return_inverse=True)
+        self.edge = np.searchsorted(self.own, np.arange(self.own[-1] + 2))
+        self.mass = np.add.reduceat(share, self.edge[:-1])
+        self.inside = share / self.mass[self.own]
+        self.heavy = np.cumsum(share)
         self.r = rng.normal(0, 0.1, (k, dim)).astype(np.float32)
-        self.c = np.stack([np.ones(dim), np.ones(dim)]).astype(np.float32)
+        self.c = np.ones((2, dim), np.float32)
         self.q = rng.normal(0, 0.1, (k, dim)).astype(np.float32)
-        self.b = np.log(unigram).astype(np.float32)
+        self.b = np.log(self.inside).astype(np.float32)
+        self.p = rng.normal(0, 0.1, (len(self.mass), dim)).astype(np.float32)
+        self.a = np.log(self.mass).astype(np.float32)
+        self.sums: list[np.ndarray] = []
 
     def params(self) -> list[np.ndarray]:
-        return [self.r, self.c, self.q, self.b]
+        return [self.r, self.c, self.q, self.b, self.p, self.a]
 
-    def pack(self) -> bytes:
-        return np.concatenate([p.ravel() for p in self.params()]).astype(np.float32).tobytes()
+    def pack(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.params()])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
         for p in self.params():
             p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
+        self.sums = []
 
     def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.r[one] * self.c[0] + self.r[two] * self.c[1]
 
-    def train(self, code: np.ndarray, n: np.ndarray, *, steps: int, noise: int = 256, batch: int = 4096, rate: float = 0.1, seed: int = 0) -> None:
-        """Noise-contrastive steps on triples drawn by their counts, with Adagrad."""
+    def train(self, code: np.ndarray, n: np.ndarray, *, steps: int, noise: int = 64, batch: int = 4096, rate: float = 0.1, seed: int = 0) -> None:
+        """Steps on triples drawn by their counts."""
         rng = np.random.default_rng(seed)
-        k = len(self.unigram)
-        cum, heavy = np.cumsum(n / n.sum()), np.cumsum(self.unigram)
-        log_noise = np.log(noise * self.unigram).astype(np.float32)
-        sums = [np.full_like(p, 1e-6) for p in self.params()]
+        k, cum = len(self.unigram), np.cumsum(n / n.sum())
         for _ in range(steps):
             x = code[np.minimum(np.searchsorted(cum, rng.random(batch)), len(code) - 1)]
-            w, one, two = x % k, x // k % k, x // k // k
-            # the noise words are drawn once for all contexts of a step, so that scores are one matrix product
-            z = np.minimum(np.searchsorted(heavy, rng.random(noise)), k - 1)
-            ctx = self.context(one, two)
-            true = (ctx * self.q[w]).sum(axis=1) + self.b[w] - log_noise[w]
-            false = ctx @ self.q[z].T + self.b[z] - log_noise[z]
-            pt = (1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1) / batch
-            pf = 1 / (1 + np.exp(-np.clip(false, -30, 30))) / batch
-            g_ctx = pt[:, None] * self.q[w] + pf @ self.q[z]
-            g_q = _added(w, pt[:, None] * ctx, k) + _added(z, pf.T @ ctx, k)
-            g_b = np.bincount(w, weights=pt, minlength=k) + np.bincount(z, weights=pf.sum(axis=0), minlength=k)
-            g_r = _added(one, g_ctx * self.c[0], k) + _added(two, g_ctx * self.c[1], k)
-            g_c = np.stack([(g_ctx * self.r[one]).sum(axis=0), (g_ctx * self.r[two]).sum(axis=0)])
-            for q, g, s in zip(self.params(), [g_r, g_c, g_q, g_b], sums, strict=True):
-                s += g * g
-                q -= (rate * g / np.sqrt(s)).astype(np.float32)
+            self.step(x // k % k, x // k // k, x % k, rng, noise=noise, rate=rate)
+
+    def step(self, one: np.ndarray, two: np.ndarray, w: np.ndarray, rng: np.random.Generator, *, noise: int = 64, rate: float = 0.1) -> None:
+        """One noise-contrastive Adagrad step on these triples, for the class and for the word inside its class."""
+        w = self.place[w]
+        order = np.argsort(w, kind="stable")
+        w, one, two = w[order], self.place[one[order]], self.place[two[order]]
+        own = self.own[w]
+        ctx = self.context(one, two)
+        # the class; its noise is drawn once for all contexts of a step, so that scores are one matrix product
+        z = rng.choice(len(self.mass), noise, p=self.mass / self.mass.sum())
+        log_noise = np.log(noise * self.mass).astype(np.float32)
+        pt = _sigmoid((ctx * self.p[own]).sum(axis=1) + self.a[own] - log_noise[own]) - 1
+        pf = _sigmoid(ctx @ self.p[z].T + (self.a[z] - log_noise[z]))
+        g_ctx = pt[:, None] * self.p[own] + pf @ self.p[z]
+        classes = _summed(np.concatenate([own, z]), np.concatenate([np.column_stack([pt[:, None] * ctx, pt]), np.column_stack([pf.T @ ctx, pf.sum(axis=0)])]))
+        # the word; one noise for all contexts of a class, whose places lie together
+        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        log_noise = np.log(noise * self.inside[w]).astype(np.float32)
+        pt = _sigmoid((ctx * self.q[w]).sum(axis=1) + self.b[w] - log_noise) - 1
+        several = self.edge[own + 1] - self.edge[own] > 1
+        pt *= several  # the only word of its class is certain
+        g_ctx += pt[:, None] * self.q[w]
+        at, rows = [w], [np.column_stack([pt[:, None] * ctx, pt])]
+        for i, j in zip(start, np.append(start[1:], len(w)), strict=True):
+            if not several[i]:
+                continue
+            lo, hi = self.edge[own[i]], self.edge[own[i] + 1]
+            before = self.heavy[lo - 1] if lo else 0.0
+            z = np.clip(np.searchsorted(self.heavy, before + rng.random(noise) * (self.heavy[hi - 1] - before)), lo, hi - 1)
+            # equal noise words are one with their number as weight
+            z, times = np.unique(z, return_counts=True)
+            pf = _sigmoid(ctx[i:j] @ self.q[z].T + (self.b[z] - np.log(noise * self.inside[z]).astype(np.float32))) * times.astype(np.float32)
+            g_ctx[i:j] += pf @ self.q[z]
+            at.append(z)
+            rows.append(np.column_stack([pf.T @ ctx[i:j], pf.sum(axis=0)]))
+        words = _summed(np.concatenate(at), np.concatenate(rows))
+        before = _summed(np.concatenate([one, two]), np.concatenate([g_ctx * self.c[0], g_ctx * self.c[1]]))
+        g_c = np.stack([(g_ctx * self.r[one]).sum(axis=0), (g_ctx * self.r[two]).sum(axis=0)])
+        if not self.sums:
+            self.sums = [np.ones_like(p) for p in self.params()]
+        moves = [before, (np.arange(2), g_c), (words[0], words[1][:, :-1]), (words[0], words[1][:, -1]), (classes[0], classes[1][:, :-1]), (classes[0], classes[1][:, -1])]
+        for p, s, (rows_at, g) in zip(self.params(), self.sums, moves, strict=True):
+            s[rows_at] += g * g
+            p[rows_at] -= rate * g / np.sqrt(s[rows_at])
 
     def log10(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 P(w | one, two), normalised over the vocabulary; contexts are computed once."""
-        k = len(self.unigram)
-        key, at = np.unique(two * k + one, return_inverse=True)
+        """log10 P(w | one, two): of the class, normalised over the classes, and of the word, over its class."""
         out = np.zeros(len(w))
-        order = np.argsort(at, kind="stable")
-        edge = np.searchsorted(at[order], np.arange(0, len(key) + 4096, 4096))
-        for i in range(0, len(key), 4096):
-            some = key[i : i + 4096]
-            z = self.context(some % k, some // k) @ self.q.T + self.b
-            z -= z.max(axis=1, keepdims=True)
-            norm = np.log(np.exp(z).sum(axis=1))
-            mine = order[edge[i // 4096] : edge[i // 4096 + 1]]
-            out[mine] = z[at[mine] - i, w[mine]] - norm[at[mine] - i]
+        for i in range(0, len(w), SLAB):
+            x = self.place[w[i : i + SLAB]]
+            order = np.argsort(x, kind="stable")
+            x = x[order]
+            own = self.own[x]
+            ctx = self.context(self.place[one[i : i + SLAB][order]], self.place[two[i : i + SLAB][order]])
+            got = (ctx * self.p[own]).sum(axis=1) + self.a[own] + (ctx * self.q[x]).sum(axis=1) + self.b[x]
+            for j in range(0, len(x), 4096):
+                got[j : j + 4096] -= _log_sum(ctx[j : j + 4096] @ self.p.T + self.a)
+            start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            for a, b in zip(start, np.append(start[1:], len(x)), strict=True):
+                mine = slice(self.edge[own[a]], self.edge[own[a] + 1])
+                for j in range(a, b, 4096):
+                    some = slice(j, min(j + 4096, b))
+                    got[some] -= _log_sum(ctx[some] @ self.q[mine].T + self.b[mine])
+            out[i + order] = got
         return out / np.log(10)
 
 
-def _added(at: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """Sum of the rows by place, as a sorted reduction."""
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    most = z.max(axis=1)
+    z -= most[:, None]
+    return np.log(np.exp(z, out=z).sum(axis=1)) + most
+
+
+def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places and the sums of their rows, as a sorted reduction."""
     order = np.argsort(at, kind="stable")
-    keys, first = np.unique(at[order], return_index=True)
-    out = np.zeros((k, rows.shape[1]), dtype=np.float32)
-    out[keys] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 class Model:
@@ -241,18 +283,55 @@ class Model:
         return float(np.log10(self.vocabulary.tokens + 0.5 * (self.vocabulary.types + 1)))
 
 
-def _steps(model, shared_params, steps: int, seed: int):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        net = model.value
-        net.load(np.frombuffer(shared_params, dtype=np.float32))
-        frame = frame.sort_values("code")
-        net.train(frame["code"].to_numpy(), frame["n"].to_numpy().astype(float), steps=steps, seed=seed * 1000 + int(key[0]))
-        return pd.DataFrame({"params": [net.pack()], "n": [int(frame["n"].sum())]})
+def _steps(shared, net, params, steps: int, seed: int):
+    """Pieces of a task's parameters after one pass over all tokens of its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, m = shared.value, net.value
+        m.load(params.value)
+        rng = np.random.default_rng(seed)
+        wait, ready, held, total, done = [], 0, [], 0, 0
+        for batch in batches:
+            for _, _, data, off in textcore.blocks(batch.column(0)):
+                _, _, _, _, seq, one, two, _ = v.sequence(data, off)
+                wait.append(np.stack([one, two, seq]))
+                ready += len(seq)
+                total += len(seq)
+                if total <= steps * HELD:
+                    held.append(wait[-1].astype(np.int32))
+                else:
+                    held = []
+                if ready >= SLAB:
+                    done += _passed(m, np.concatenate(wait, axis=1), rng)
+                    wait, ready = [], 0
+        if wait:
+            done += _passed(m, np.concatenate(wait, axis=1), rng)
+        if held and done < steps:  # few texts, all held: they are gone over again
+            one, two, seq = np.concatenate(held, axis=1).astype(np.int64)
+            m.train((two * v.size + one) * v.size + seq, np.ones(len(seq)), steps=steps - done, seed=seed)
+        if total:
+            flat = m.pack()
+            for i in range(0, len(flat), PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array([i // PIECE]), pa.array([flat[i : i + PIECE].tobytes()]), pa.array([total])], names=["piece", "params", "n"])
 
     return run
 
 
-def fit(train: DataFrame, *, size: int = 256, frequent: int = 1 << 17, trainers: int = 8, rounds: int = 3, steps: int = 150) -> tuple[Model, DataFrame]:
+def _passed(net: LogBilinear, triples: np.ndarray, rng: np.random.Generator) -> int:
+    cuts = range(0, triples.shape[1], SLAB)
+    for i in cuts:
+        net.step(*triples[:, i : i + SLAB], rng)
+    return len(cuts)
+
+
+def _average(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values(["n", "params"])
+    n = frame["n"].to_numpy(dtype=float)
+    mean = (np.stack([np.frombuffer(p, dtype=np.float32) for p in frame["params"]]) * (n / n.sum())[:, None]).sum(axis=0)
+    return pd.DataFrame({"piece": frame["piece"].iloc[:1], "params": [mean.astype(np.float32).tobytes()]})
+
+
+def fit(train: DataFrame, *, frequent: int = 1 << 17, trainers: int = 8, rounds: int = 3, steps: int = 150) -> tuple[Model, DataFrame]:
     """The model and the table (word, n) of all counts, from the texts of ``train``."""
     spark = train.sparkSession
     counts = materialize(train.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
@@ -272,29 +351,31 @@ def fit(train: DataFrame, *, size: int = 256, frequent: int = 1 << 17, trainers:
     ends = int(counts.filter(F.col("word") == END_HASH).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     h, n = h[keep].view(np.uint64), n[keep]
     first = 1 + CLASSES
-    number = np.where(np.arange(len(h)) < size - first, np.arange(len(h)) + first, 0)
-    v = Vocabulary(h, n, number, ends, int(total["n"]), int(total["v"]), size)
-    known = n[: size - first]
+    size = first + len(h)
+    v = Vocabulary(h, n, np.arange(first, size), ends, int(total["n"]), int(total["v"]), size)
     # shares of the model's vocabulary: an unseen word of each shape counts as half a token
     mass = np.zeros(size)
     mass[0] = ends + 0.5
     for r in counts.filter(F.col("word") != END_HASH).groupBy(F.col("word").bitwiseAND(F.lit(63)).alias("shape")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         mass[1 + r["shape"]] = r["n"] + 0.5 * r["v"]
-    np.subtract.at(mass, 1 + (h[: len(known)] & np.uint64(63)).astype(np.int64), known + 0.5)
+    np.subtract.at(mass, 1 + (h & np.uint64(63)).astype(np.int64), n + 0.5)
     mass[1 : 1 + CLASSES] += 0.5
-    mass[first : first + len(known)] = known + 0.5
+    mass[first:] = n + 0.5
     other = mass[1 : 1 + CLASSES].copy()
     mass = np.maximum(mass, 1e-9)
     net = LogBilinear(mass / mass.sum())
     if v.tokens:
         shared = spark.sparkContext.broadcast(v)
-        triples = train.select("text").mapInArrow(_triples(shared), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        triples = materialize(triples.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(trainers))), "triples")
         start = spark.sparkContext.broadcast(net)
         for i in range(rounds):
-            got = triples.groupBy("part").applyInPandas(_steps(start, net.pack(), steps, i), "params binary, n long").orderBy("params").collect()
-            weight = np.array([r["n"] for r in got], dtype=float)
-            net.load((np.stack([np.frombuffer(r["params"], dtype=np.float32) for r in got]) * (weight / weight.sum())[:, None]).sum(axis=0))
+            # each text is in one round, and all its tokens in one pass of one task
+            mine = train.select("text").filter(F.pmod(F.xxhash64("text", F.length("text")), F.lit(rounds)) == i).coalesce(trainers)
+            params = spark.sparkContext.broadcast(net.pack())
+            pieces = mine.mapInArrow(_steps(shared, start, params, steps, i), "piece long, params binary, n long")
+            got = sorted(pieces.groupBy("piece").applyInPandas(_average, "piece long, params binary").collect())
+            if got:
+                net.load(np.frombuffer(b"".join(r["params"] for r in got), dtype=np.float32))
+            params.unpersist()
     return Model(v, net, other), counts
 
 
@@ -313,9 +394,7 @@ def _score(shared):
                 model = np.bincount(of, weights=m.net.log10(one, two, seq), minlength=n)
                 log = np.log10(c + 0.5)
                 base = np.bincount(row[ok], weights=log[ok], minlength=n) + ends
-                # a word of the class of others has its share of the class's mass
-                inside = ok & (v.look(h)[2] <= CLASSES)
-                model += np.bincount(row[inside], weights=log[inside], minlength=n)
+                # a rare word has its share of the mass of its shape
                 others = (seq > 0) & (seq <= CLASSES)
                 model -= np.bincount(of[others], weights=np.log10(m.other)[seq[others] - 1], minlength=n)
                 words = np.bincount(row, minlength=n)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,34 @@ def test_language_model_end_below_the_frequent_cut(spark):
     assert model.vocabulary.ends == 1 and abs(got.base_score - want) < 1e-6 * abs(want)
 
 
+def test_language_model_tells_same_shaped_words_apart(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(300):
+        w = [f"w{j:03}" for j in rng.permutation(260)]
+        for k, pair in enumerate(("cat dog", "hen pig") * (i % 2)):
+            w.insert(60 * k + 20, pair)
+        rows.append((i, " ".join(w)))
+    model, counts = lm.fit(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), rounds=1)
+    asked = spark.createDataFrame([(1, "cat dog"), (2, "cat pig"), (3, "hen pig"), (4, "hen dog")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(asked, model, counts).collect()}
+    assert got[1] + got[3] > got[2] + got[4] + 1
+
+
+def test_every_token_is_trained_on(monkeypatch):
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 3, 9, 3, 1 + lm.CLASSES)
+    net = lm.LogBilinear(np.full(v.size, 1 / v.size), dim=4)
+    seen = []
+    monkeypatch.setattr(net, "step", lambda one, two, w, rng, **_: seen.append(len(w)))
+    texts = pa.array(["a bc " * 50_000, None, "d" + " e" * 130_000])
+    out = list(lm._steps(Held(v), Held(net), Held(net.pack()), 1, 0)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])))
+    assert sum(seen) == 100_000 + 130_001 + 3 and {n for b in out for n in b.column(2).to_pylist()} == {sum(seen)}
+
+
 def test_probabilities_are_normalised():
     net = lm.LogBilinear(np.full(40, 1 / 40), dim=8)
     rng = np.random.default_rng(0)

@@ -42,8 +42,8 @@ from apiarium.scratch import materialize
 END_HASH = 63  # no word has class 63
 CLASSES = 48
 FLUSH = 1 << 21
-SLAB = 1 << 16  # tokens of a step
-HELD = 1 << 14  # times ``steps``: so many tokens a trainer holds to go over them again
+SLAB = 1 << 15  # tokens of a step
+HELD = 1 << 12  # times ``steps``: so many tokens a trainer holds to go over them again
 PIECE = 1 << 14
 
 #: Kind of a word's last byte: letter, full stop, comma and the like, exclamation, digit, other.
@@ -210,20 +210,20 @@ class LogBilinear:
         several = self.edge[own + 1] - self.edge[own] > 1
         pt *= several  # the only word of its class is certain
         g_ctx += pt[:, None] * self.q[w]
-        at, rows = [w], [np.column_stack([pt[:, None] * ctx, pt])]
-        for i, j in zip(start, np.append(start[1:], len(w)), strict=True):
-            if not several[i]:
-                continue
-            lo, hi = self.edge[own[i]], self.edge[own[i] + 1]
-            before = self.heavy[lo - 1] if lo else 0.0
-            z = np.clip(np.searchsorted(self.heavy, before + rng.random(noise) * (self.heavy[hi - 1] - before)), lo, hi - 1)
-            # equal noise words are one with their number as weight
-            z, times = np.unique(z, return_counts=True)
-            pf = _sigmoid(ctx[i:j] @ self.q[z].T + (self.b[z] - np.log(noise * self.inside[z]).astype(np.float32))) * times.astype(np.float32)
-            g_ctx[i:j] += pf @ self.q[z]
-            at.append(z)
-            rows.append(np.column_stack([pf.T @ ctx[i:j], pf.sum(axis=0)]))
-        words = _summed(np.concatenate(at), np.concatenate(rows))
+        here = start[several[start]]
+        stop = np.append(start[1:], len(w))[several[start]]
+        lo, hi = self.edge[own[here]], self.edge[own[here] + 1]
+        below = np.concatenate([[0], self.heavy])[lo]
+        z = below[:, None] + rng.random((len(here), noise)) * (self.heavy[hi - 1] - below)[:, None]
+        z = np.clip(np.searchsorted(self.heavy, z), lo[:, None], hi[:, None] - 1)
+        near, bias = self.q[z], self.b[z] - np.log(noise * self.inside[z]).astype(np.float32)
+        g_z = np.empty((*z.shape, ctx.shape[1] + 1), np.float32)
+        for t, (i, j) in enumerate(zip(here.tolist(), stop.tolist(), strict=True)):
+            pf = _sigmoid(ctx[i:j] @ near[t].T + bias[t])
+            g_ctx[i:j] += pf @ near[t]
+            g_z[t, :, :-1] = pf.T @ ctx[i:j]
+            g_z[t, :, -1] = pf.sum(axis=0)
+        words = _summed(np.concatenate([w, z.ravel()]), np.concatenate([np.column_stack([pt[:, None] * ctx, pt]), g_z.reshape(-1, g_z.shape[2])]))
         before = _summed(np.concatenate([one, two]), np.concatenate([g_ctx * self.c[0], g_ctx * self.c[1]]))
         g_c = np.stack([(g_ctx * self.r[one]).sum(axis=0), (g_ctx * self.r[two]).sum(axis=0)])
         if not self.sums:
@@ -256,7 +256,11 @@ class LogBilinear:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.clip(x, -30, 30)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
@@ -284,7 +288,7 @@ class Model:
 
 
 def _steps(shared, net, params, steps: int, seed: int):
-    """Pieces of a task's parameters after one pass over all tokens of its texts."""
+    """Pieces of what one pass over all tokens of a task's texts changes in the parameters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = shared.value, net.value
@@ -310,7 +314,8 @@ def _steps(shared, net, params, steps: int, seed: int):
             one, two, seq = np.concatenate(held, axis=1).astype(np.int64)
             m.train((two * v.size + one) * v.size + seq, np.ones(len(seq)), steps=steps - done, seed=seed)
         if total:
-            flat = m.pack()
+            # what the pass has changed, to three digits: half of what would be shuffled
+            flat = np.clip(m.pack() - params.value, -60_000, 60_000).astype(np.float16)
             for i in range(0, len(flat), PIECE):
                 yield pa.RecordBatch.from_arrays([pa.array([i // PIECE]), pa.array([flat[i : i + PIECE].tobytes()]), pa.array([total])], names=["piece", "params", "n"])
 
@@ -327,7 +332,7 @@ def _passed(net: LogBilinear, triples: np.ndarray, rng: np.random.Generator) ->
 def _average(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["n", "params"])
     n = frame["n"].to_numpy(dtype=float)
-    mean = (np.stack([np.frombuffer(p, dtype=np.float32) for p in frame["params"]]) * (n / n.sum())[:, None]).sum(axis=0)
+    mean = (np.stack([np.frombuffer(p, dtype=np.float16) for p in frame["params"]]) * (n / n.sum())[:, None]).sum(axis=0)
     return pd.DataFrame({"piece": frame["piece"].iloc[:1], "params": [mean.astype(np.float32).tobytes()]})
 
 
@@ -374,7 +379,7 @@ def fit(train: DataFrame, *, frequent: int = 1 << 17, trainers: int = 8, rounds:
             pieces = mine.mapInArrow(_steps(shared, start, params, steps, i), "piece long, params binary, n long")
             got = sorted(pieces.groupBy("piece").applyInPandas(_average, "piece long, params binary").collect())
             if got:
-                net.load(np.frombuffer(b"".join(r["params"] for r in got), dtype=np.float32))
+                net.load(net.pack() + np.frombuffer(b"".join(r["params"] for r in got), dtype=np.float32))
             params.unpersist()
     return Model(v, net, other), counts
 

@@ -7,9 +7,9 @@ the language of the centroid with the largest cosine. A text whose cosine lies b
 language's own low quantile is *rejected* (reported beside the prediction, for open-set use).
 
 Document frequencies are counted over all training rows; only the k-means sample is bounded:
-about ``per_language`` rows of each language, chosen by a hash of doc_id. Languages are
-learned up to ``max_languages``, the most frequent first, which bounds what is broadcast:
-max_languages * clusters * DIM * 4 bytes.
+about ``per_language`` rows of each language, chosen by a hash of doc_id. Every language found
+is learned; what is broadcast is clusters * DIM * 4 bytes (64 KB) a language. Centroids are
+scored ``BLOCK_LANGUAGES`` languages at a time, which bounds the table of cosines.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; null or unknown
 languages train nothing; without any training row every text is ``und``; texts of any length
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from apiarium.llm import textcore
 
 DIM = 1 << 12
+BLOCK_LANGUAGES = 256
 _TABLE: list[np.ndarray] = []
 
 
@@ -125,7 +126,7 @@ def _centroids(idf: np.ndarray, k: int):
 class Model:
     def __init__(self, idf: np.ndarray, langs: list[str], centroids: list[np.ndarray], floors: list[float]):
         self.idf, self.langs, self.floors = idf, langs, np.array(floors)
-        self.matrix = np.concatenate(centroids).T.copy() if centroids else np.zeros((DIM, 0), np.float32)
+        self.blocks = [np.concatenate(centroids[i : i + BLOCK_LANGUAGES]).T.copy() for i in range(0, len(centroids), BLOCK_LANGUAGES)]
         self.owner = np.concatenate([np.full(len(c), i) for i, c in enumerate(centroids)]) if centroids else np.zeros(0, np.int64)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -134,25 +135,28 @@ class Model:
         some = v.any(axis=1)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        cos = v @ self.matrix
-        best = np.argmax(cos, axis=1)
-        score = np.where(some, np.clip(cos[np.arange(len(texts)), best], 0, 1), 0).astype(float)
+        best, most, first = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf, np.float32), 0
+        for matrix in self.blocks:
+            cos = v @ matrix
+            at = np.argmax(cos, axis=1)
+            here = cos[np.arange(len(texts)), at]
+            better = here > most
+            best[better], most[better] = first + at[better], here[better]
+            first += matrix.shape[1]
+        score = np.where(some, np.clip(most, 0, 1), 0).astype(float)
         own = self.owner[best]
         return [self.langs[o] if s else "und" for o, s in zip(own, some, strict=True)], score, ~some | (score < self.floors[own])
 
 
-def fit(train: DataFrame, *, clusters: int = 4, per_language: int = 400, max_languages: int = 256) -> Model:
+def fit(train: DataFrame, *, clusters: int = 4, per_language: int = 400) -> Model:
     """Learns from (doc_id, text, lang) rows."""
     train = train.filter("lang is not null and text is not null")
-    found = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    rates = train.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("rate"))
     df = {r["dim"]: r["n"] for r in train.select("text").mapInArrow(_df, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
     n = df.get(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + df.get(d, 0))) + 1 for d in range(DIM)], dtype=np.float32)
-    part = F.lit(0.0)
-    for r in found:
-        part = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["n"]))).otherwise(part)
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    sample = train.filter(u < part).select("lang", "text")
+    sample = train.join(F.broadcast(rates), "lang").filter(u < F.col("rate")).select("lang", "text")
     made = sample.groupBy("lang").applyInPandas(_centroids(idf, clusters), "lang string, centroids binary, floor double").collect()
     made.sort(key=lambda r: r["lang"])
     return Model(idf, [r["lang"] for r in made], [np.frombuffer(r["centroids"], dtype=np.float32).reshape(-1, DIM) for r in made], [r["floor"] for r in made])

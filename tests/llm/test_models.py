@@ -49,6 +49,15 @@ def test_language_id(spark, odd):
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_more_languages_than_a_block(spark):
+    names = [chr(0x4E00 + i) * 3 for i in range(300)]  # a language of one sign each
+    train = spark.createDataFrame([(i, t, f"l{i:03}") for i, t in enumerate(names)], "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    assert len(model.langs) == 300
+    got = langid.predict(train, model).join(train, "doc_id").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.9 and {r.lang_pred for r in got} & {f"l{i}" for i in range(256, 300)}
+
+
 def test_quality(spark, odd, labelled):
     docs = common.documents(spark, SF)
     held = queries.op8_quality(spark, SF).filter("held_out").join(common.labels(spark, SF), "doc_id")

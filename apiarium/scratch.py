@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +41,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _short_shuffles(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+@contextlib.contextmanager
+def _short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While the block runs, a query's shuffle files go when the query ends; what it wrote is kept in the table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _own(spark: SparkSession) -> str:
     """This application's folder, deleted when Python ends."""
     app = spark.sparkContext.applicationId
@@ -68,16 +81,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing will read again, then let go of finished jobs' shuffle files.
-
-    Spark drops the files of a shuffle when the driver collects the plan that made it, which
-    may be long after a small driver's last collection.
-    """
+    """Delete materialized tables that nothing will read again."""
     for t in tables:
         _delete(t.sparkSession, t._scratch_path)
-    if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:

@@ -10,12 +10,14 @@ and is looked up at every position.
 While the benchmark's tables measure at most ``max_broadcast`` bytes they go to every task
 and the documents are read once, without a shuffle. Beyond that, fingerprints are joined by
 hash (``shuffled``): a row for each fingerprint of a document, thinned to those that the
-benchmark has, then the pairs of document and item are extended; no group is gathered.
+benchmark has, then all windows of the documents found meet those of the items; texts move
+once for each document, and no group is gathered.
 
 Defined cases: null and empty texts have no words, are never hit and, as items, hit nothing;
-repeated items count once for each item_id, and an item_id that repeats counts once;
-repeated document rows are rows of their own; an empty benchmark hits nothing. Other columns
-of either table are ignored.
+an item without item_id is ignored; repeated items count once for each item_id, and an
+item_id that repeats counts once; repeated document rows, and those without doc_id, are rows
+of their own; an empty table of either kind gives an empty report or no hit. Other columns of
+either table are ignored, and passed through by ``clean``.
 """
 
 from __future__ import annotations
@@ -24,13 +26,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from apiarium.llm import textcore
+from apiarium.llm import common, textcore
 from apiarium.scratch import materialize
 
 K = 5
@@ -146,96 +147,89 @@ def _scan(shared):
                 words, n_hit, items = hits(index, data, off)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([list(names[o]) for o in items], pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
 
-    return run
+    return textcore.tidy(run)
 
 
-def _fingerprints(span: int, lengths: list[int], every: bool):
-    """(key, gram length, hash) rows; ``every``: all whole windows (for items), else winnowed ones and all of the short lengths."""
+def _grams(of: str, span: int, lengths: list[int]):
+    """(key, m, at, g) rows of (key, text): hashes of m words and the first one's place.
+
+    ``of``: "items", every window of an item (m is its length, ``span`` at most); "windows",
+    every window of the lengths and of ``span``; "prints", the winnowed fingerprints (m is
+    ``span``) and every window of the lengths, which are too short for one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            keys = batch.column(0)
             for i, j, data, off in textcore.blocks(batch.column(1)):
                 s, e, row = textcore.words(data, off, textcore.ALNUM_WORD)
                 h = textcore.span_hashes(data, s, e)
-                n = np.bincount(row, minlength=j - i)
-                for m in [*lengths, span]:
-                    if every and m < span:
-                        own = n[row] == m
-                    elif every:
-                        own = n[row] >= span
-                    else:
-                        own = np.ones(len(row), bool)
-                    hr, rr = h[own], row[own]
-                    if m == span:
-                        k = min(K, span)
-                        g, at = textcore.grams(hr, rr, k)
-                        at, g = (at[p := winnow(g, at, rr, span - k + 1)], g[p]) if len(g) else (at, g)
-                    else:
-                        g, at = textcore.grams(hr, rr, m)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + rr[at])), pa.array(np.full(len(g), m, np.int32)), pa.array(g.view(np.int64))], names=["key", "m", "g"])
-
-    return run
-
-
-def _extend(span: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for d, text, item, item_text in zip(f["row"], f["text"], f["item_id"], f["item_text"], strict=True):
-                index = Index([(item, item_text or "")], span)
-                data = np.frombuffer((text or "").encode(), dtype=np.uint8)
-                s, e, row = textcore.words(data, np.array([0, len(data)]), textcore.ALNUM_WORD)
-                h = textcore.span_hashes(data, s, e)
-                for m, (g, _) in index.windows.items():
-                    x, at = textcore.grams(h, row, m)
-                    at = at[_member(x, g)]
-                    if len(at):  # merge overlapping windows of this item
-                        new = np.flatnonzero(np.diff(at, prepend=at[0] - m - 1) > m)
-                        ends = np.append(at[new[1:] - 1], at[-1]) + m
-                        out += [(d, item, int(a), int(b)) for a, b in zip(at[new], ends, strict=True)]
-            yield pd.DataFrame(out, columns=["row", "item_id", "a", "b"])
+                n = np.minimum(np.bincount(row, minlength=j - i), span)
+                first = textcore.row_bounds(row, j - i)
+                for m in np.unique(n[n > 0]).tolist() if of == "items" else [*lengths, span]:
+                    mine = np.flatnonzero(n[row] == m) if of == "items" else np.arange(len(row))
+                    k = min(K, span) if of == "prints" and m == span else m
+                    g, at = textcore.grams(h[mine], row[mine], k)
+                    if of == "prints" and m == span:
+                        some = winnow(g, at, row[mine], span - k + 1)
+                        g, at = g[some], at[some]
+                    at = mine[at]
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(i + row[at])), pa.array(np.full(len(g), m, np.int32)), pa.array(at - first[row[at]]), pa.array(g.view(np.int64))], names=["key", "m", "at", "g"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, off in textcore.blocks(batch.column(1)):
+        for i, j, data, off in textcore.blocks(batch.column(2)):
             row = textcore.words(data, off, textcore.ALNUM_WORD)[2]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in (0, 2)], pa.array(np.bincount(row, minlength=j - i).astype(np.int64))], names=["row", "doc_id", "n_words"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in (0, 1)], pa.array(np.bincount(row, minlength=j - i).astype(np.int64))], names=["line", "doc_id", "n_words"])
 
 
 def shuffled(docs: DataFrame, items: DataFrame, span: int) -> DataFrame:
-    """The report for a benchmark of any size: fingerprints meet in a join."""
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("item_text"))
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = materialize(docs, "numbered")  # so that a row keeps its number whenever it is read
-    prints = "key string, m int, g long"
-    theirs = items.mapInArrow(_fingerprints(span, list(range(1, span)), True), prints).distinct()
-    lengths = [r["m"] for r in theirs.select("m").distinct().collect() if r["m"] < span]
-    ours = docs.select("row", "text").mapInArrow(_fingerprints(span, lengths, False), "key long, m int, g long")
-    pairs = ours.join(theirs.withColumnRenamed("key", "item_id"), ["m", "g"]).select(F.col("key").alias("row"), "item_id").distinct()
-    pairs = pairs.join(items, "item_id").join(docs.select("row", "text"), "row").select("row", "text", "item_id", "item_text")
-    spans = materialize(pairs.mapInPandas(_extend(span), "row long, item_id string, a long, b long"), "spans")
-    w = Window.partitionBy("row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    """The report, with ``line``, of rows (line, doc_id, text) for a benchmark of any size.
+
+    Fingerprints meet in a join; the documents found are extended by joining all their windows
+    with those of the items, so texts move once for each document, never for a pair.
+    """
+    items = items.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    rows = "m int, at long, g long"
+    theirs = materialize(items.mapInArrow(_grams("items", span, []), f"key string, {rows}").select(F.col("key").alias("item_id"), "m", "g").distinct(), "item-windows")
+    lengths = sorted(r["m"] for r in theirs.filter(F.col("m") < span).select("m").distinct().collect())
+    prints = items.mapInArrow(_grams("prints", span, []), f"key string, {rows}").select("m", "g").union(theirs.filter(F.col("m") < span).select("m", "g")).distinct()
+    texts = docs.select("line", "text")
+    found = texts.mapInArrow(_grams("prints", span, lengths), f"key long, {rows}").join(prints, ["m", "g"], "left_semi").select(F.col("key").alias("line")).distinct()
+    found = materialize(found, "found")
+    windows = texts.join(found, "line", "left_semi").mapInArrow(_grams("windows", span, lengths), f"key long, {rows}")
+    spans = windows.join(theirs, ["m", "g"]).select(F.col("key").alias("line"), "item_id", F.col("at").alias("a"), (F.col("at") + F.col("m")).alias("b"))
+    spans = materialize(spans, "spans")
+    w = Window.partitionBy("line").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.max("b").over(w), F.lit(0))
-    n_hit = spans.select("row", F.greatest(F.lit(0), F.col("b") - F.greatest("a", seen)).alias("n")).groupBy("row").agg(F.sum("n").alias("n_hit"))
-    names = spans.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    counted = docs.select("row", "text", "doc_id").mapInArrow(_counted, "row long, doc_id long, n_words long")
-    out = counted.join(n_hit, "row", "left").join(names, "row", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    n_hit = spans.select("line", "a", "b").distinct().select("line", F.greatest(F.lit(0), F.col("b") - F.greatest("a", seen)).alias("n")).groupBy("line").agg(F.sum("n").alias("n_hit"))
+    names = spans.select("line", "item_id").distinct().groupBy("line").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    counted = docs.select("line", "doc_id", "text").mapInArrow(textcore.tidy(_counted), "line long, doc_id long, n_words long")
+    out = counted.join(n_hit, "line", "left").join(names, "line", "left")
+    return out.select("line", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def report(docs: DataFrame, items: DataFrame, *, span: int = 10, max_broadcast: int = 64 << 20) -> DataFrame:
-    """doc_id, n_words, n_hit and the sorted items of each row of ``docs``."""
+def _index(items: DataFrame, span: int, max_broadcast: int) -> Index | None:
+    """The benchmark's tables, if they are small enough to be sent to every task."""
     size = items.agg(F.coalesce(F.sum(F.length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")) + 64), F.lit(0))).first()[0]
     if size * 4 > max_broadcast:  # a word may be two bytes and gives 16 bytes of tables at most, fingerprints less
-        return shuffled(docs, items, span)
+        return None
     rows = items.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit(""))).filter("item_id is not null").collect()
-    index = Index([tuple(r) for r in rows], span)
+    return Index([tuple(r) for r in rows], span)
+
+
+def report(docs: DataFrame, items: DataFrame, *, span: int = 10, max_broadcast: int = 64 << 20) -> DataFrame:
+    """doc_id, n_words, n_hit and the sorted items of each row of ``docs``."""
+    index = _index(items, span, max_broadcast)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if index is None:
+        # written once, so that a row keeps its number whenever it is read
+        return shuffled(materialize(docs.withColumn("line", F.monotonically_increasing_id()), "numbered"), items, span).drop("line")
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(shared), REPORT)
+    return docs.mapInArrow(_scan(shared), REPORT)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -248,6 +242,20 @@ def items_sha256(items: list[str]) -> str:
 
 
 def clean(docs: DataFrame, items: DataFrame, *, span: int = 10, max_share: float = 0.0, max_broadcast: int = 64 << 20) -> DataFrame:
-    """``docs`` without the documents of which more than ``max_share`` of the words are hit; doc_id must be unique."""
-    bad = report(docs, items, span=span, max_broadcast=max_broadcast).filter(F.col("n_hit") > F.col("n_words") * max_share).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    """``docs`` without the rows of which more than ``max_share`` of the words are hit; same columns, any doc_id."""
+    index = _index(items, span, max_broadcast)
+    if index is None:
+        number = common.fresh("_line", docs.columns)
+        whole = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+        bad = shuffled(whole.select(F.col(number).alias("line"), F.col("doc_id").cast("long").alias("doc_id"), "text"), items, span)
+        bad = bad.filter(F.col("n_hit") > F.col("n_words") * max_share).select(F.col("line").alias(number))
+        return whole.join(bad, number, "left_anti").select(*common.columns(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, off in textcore.blocks(batch.column(batch.schema.get_field_index("text"))):
+                words, n_hit, _ = hits(shared.value, data, off)
+                yield batch.slice(i, j - i).filter(pa.array(n_hit <= words * max_share))
+
+    return docs.select(*common.columns(docs)).mapInArrow(textcore.tidy(run), docs.schema)

@@ -8,8 +8,9 @@ choices, nothing is sorted, and what leaves a task is at most 4096 sums for each
 
 Defined cases: a null text or a text of separators has size 0 and takes 0 words; a null
 source is a source of its own, last in order; a source without words has target 0; an empty
-table gives an empty result; rows that repeat a doc_id share its hash, so they are taken
-alike. The number of sources is bounded by ``max_sources`` (an error beyond it), which bounds
+table gives an empty result. The hash is one of doc_id and text, so only rows that repeat
+both, whatever else they hold, are taken alike; a null doc_id is none to the hash. Other
+columns are ignored by ``mixed`` and passed through by ``draw``. The number of sources is bounded by ``max_sources`` (an error beyond it), which bounds
 what the driver and a broadcast hold.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from apiarium.llm import common
 from apiarium.scratch import materialize
 
 BITS, LEVELS = 12, 3
@@ -90,10 +92,14 @@ def plan(sized: DataFrame, *, weights: tuple[float, ...], share: float, cap: flo
     return cuts.drop("budget")
 
 
+def _place(seed: int) -> Column:
+    """The document's fixed place, a number of SPACE bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), 64 - SPACE)
+
+
 def mixed(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 17, max_sources: int = 100_000) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes of it) for each row of ``docs``."""
-    h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 64 - SPACE).alias("h")
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h), "sized")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _place(seed).alias("h")), "sized")
     cuts = plan(sized, weights=weights, share=share, cap=cap, max_sources=max_sources).withColumnRenamed("source", "s")
     copies = F.col("base") + (F.col("h") < F.col("cut")).cast("int")
     out = sized.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("s")))
@@ -102,10 +108,10 @@ def mixed(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
 
 def draw(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 17, max_sources: int = 100_000) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as it is taken; same columns."""
-    h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 64 - SPACE).alias("h")
-    sized = materialize(docs.select("source", word_count(F.col("text")).alias("size"), h), "sized")
+    sized = materialize(docs.select("source", word_count(F.col("text")).alias("size"), _place(seed).alias("h")), "sized")
     cuts = plan(sized, weights=weights, share=share, cap=cap, max_sources=max_sources)
-    cuts = cuts.select(F.col("source").alias("_mix_source"), F.col("base"), F.col("cut")).select("_mix_source", F.struct("base", "cut").alias("_mix"))
-    out = docs.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("_mix_source")))
-    n = F.col("_mix.base") + (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 64 - SPACE) < F.col("_mix.cut")).cast("int")
-    return out.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+    source, mix, copy = (common.fresh(n, docs.columns) for n in ("_mix_source", "_mix", "_mix_copy"))
+    cuts = cuts.select(F.col("source").alias(source), F.struct("base", "cut").alias(mix))
+    out = docs.join(F.broadcast(cuts), docs["source"].eqNullSafe(F.col(source)))
+    n = F.col(mix)["base"] + (_place(seed) < F.col(mix)["cut"]).cast("int")
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), n))).select(*common.columns(docs))

@@ -22,11 +22,15 @@ Links within a group are known, so a family of thousands of near copies costs on
 for each member, and all pairs are never made. The result is exact: no cap on candidates, on
 partners or on frequent tokens.
 
+Rows are the nodes: a row is known by its place in the files (``common.numbered``), never by
+doc_id, so rows that repeat a doc_id, or have none, are linked by their own texts.
+
 Defined cases: null or empty text or one of separators has the empty set, n_shingles 0, and
-is linked with nothing; repeated texts are one class; rows that repeat a doc_id are rows
-whose component is that of their own text; an empty table gives an empty result. Other
-columns are ignored by ``join`` and passed through by ``drop_near_duplicates``. Null doc_id is
-not supported by joins of identifiers: such rows get a null component_id.
+is linked with nothing; repeated texts are one class; component_id is the smallest doc_id
+among the rows of a row's component, null only where none of them has one; of a component
+``drop_near_duplicates`` keeps the one row with the smallest doc_id (null last), among equal
+ones the first in the files; an empty table gives an empty result. Other columns, whatever
+their names, are ignored by ``join`` and passed through by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -41,11 +45,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from apiarium.llm import textcore
+from apiarium.llm import common, textcore
 from apiarium.llm.components import components
 from apiarium.scratch import discard, materialize
 
-RATE = 0.3
+RATE = 0.25
 BLOCK_SIZE = 512
 BLOCK_TOKENS = 1 << 20
 LIMIT = np.uint64(int(RATE * 2**64))
@@ -86,8 +90,7 @@ def _signed(u: np.ndarray) -> np.ndarray:
 def _sketches(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for i, j, data, off in textcore.blocks(batch.column(1)):
+            for i, j, data, off in textcore.blocks(batch.column(3)):
                 sets = shingle_sets(data, off, words)
                 n = np.array([len(u) for u in sets], dtype=np.int64)
                 k1 = np.array([(u * np.uint64(0x9E3779B97F4A7C15) ^ (u >> np.uint64(29))).sum(dtype=np.uint64) for u in sets], dtype=np.uint64)
@@ -95,9 +98,10 @@ def _sketches(words: int, percent: int):
                 shown = [_signed(u[: max(int(np.searchsorted(u, LIMIT)), needed(len(u), percent) if len(u) else 0)]) for u in sets]
                 ends = np.concatenate([[0], np.cumsum([len(u) for u in shown])]).astype(np.int32)
                 toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(shown)))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), toks], names=["doc_id", "n", "k1", "k2", "toks"])
+                own = [batch.column(c).slice(i, j - i) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), toks], names=["file", "row", "doc_id", "n", "k1", "k2", "toks"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def _full(words: int):
@@ -109,7 +113,7 @@ def _full(words: int):
                 low = [np.sort(u.astype(np.uint32)).tobytes() for u in sets]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(low, pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())], names=["rep", "low", "tokens"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def _linked(percent: int):
@@ -122,13 +126,17 @@ def _linked(percent: int):
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in (0, 1)], names=["a", "b"])
 
-    return run
+    return textcore.tidy(run)
 
 
-def whole_sets(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(rep, low, tokens): the whole sets of the documents named, and the low halves of their hashes."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return materialize(texts.mapInArrow(_full(words), "rep long, low binary, tokens binary").dropDuplicates(["rep"]), "sets")
+def whole_sets(reps: DataFrame, places: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(rep, low, tokens): the whole sets of the classes named, and the low halves of their hashes.
+
+    ``places`` (rep, file, row) says where a class has its text, so each text is read once.
+    """
+    wanted = places.join(reps, "rep", "left_semi")
+    texts = docs.select("file", "row", "text").join(wanted, ["file", "row"]).select("rep", "text")
+    return materialize(texts.mapInArrow(_full(words), "rep long, low binary, tokens binary"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -151,19 +159,23 @@ def _grouped(rows: DataFrame, found: DataFrame | None) -> DataFrame:
 
 
 def _across(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The rows of tokens that several groups hold, with the first and the last (group, class) of the token's list.
+    """The rows of tokens that several groups hold, with the first and the last group of the token's list and a class of each.
 
-    Groups only grow, so a token of one group is out for good.
+    Partial sums meet the rows in a join, which adaptive execution can split where a token is
+    frequent. Groups only grow, so a token of one group is out for good.
     """
     rows = _grouped(rows, found)
-    me = F.struct("grp", "rep")
-    ends = rows.groupBy("tok").agg(F.min(me).alias("first"), F.max(me).alias("last")).filter("first.grp < last.grp")
-    return rows.join(ends, "tok")
+    lo, hi = F.min("grp").alias("lo"), F.max("grp").alias("hi")
+    if found is None:  # every class is its own group
+        ends = rows.groupBy("tok").agg(lo, hi).withColumns({"first": F.col("lo"), "last": F.col("hi")})
+    else:
+        ends = rows.groupBy("tok").agg(lo, hi, F.min_by("rep", "grp").alias("first"), F.max_by("rep", "grp").alias("last"))
+    return rows.join(ends.filter("lo < hi"), "tok")
 
 
 def _leaders(led: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """For each class the class of another group that leads most of its tokens' lists, if it leads enough of them."""
-    other = F.when(F.col("first.grp") != F.col("grp"), F.col("first.rep")).otherwise(F.col("last.rep"))
+    other = F.when(F.col("lo") != F.col("grp"), F.col("first")).otherwise(F.col("last"))
     votes = led.select("rep", other.alias("lead")).groupBy("rep", "lead").agg(F.count("*").alias("votes"))
     best = votes.groupBy("rep").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead"), F.max("votes").alias("votes"))
     best = best.join(sizes, "rep").filter(F.col("votes") * 3 >= F.col("m"))
@@ -204,7 +216,7 @@ def _open(percent: int):
     return lambda key, q, m: run(q, m)
 
 
-def candidates(rows: DataFrame, sizes: DataFrame, docs: DataFrame, found: DataFrame | None, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def candidates(rows: DataFrame, sizes: DataFrame, places: DataFrame, docs: DataFrame, found: DataFrame | None, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of classes of different groups that all but surely link, and the sets of all classes that were compared."""
     rows = _grouped(rows, found)
     held = rows.select("tok", "grp").distinct()
@@ -239,7 +251,7 @@ def candidates(rows: DataFrame, sizes: DataFrame, docs: DataFrame, found: DataFr
     near = (F.col("n") >= F.col("least")) & (F.col("most") * 100 >= F.col("n") * percent)
     meets = asks.join(matrix, "holders").filter(((F.col("grp") != F.col("lo")) | (F.col("grp") != F.col("hi"))) & near).select("rep", "grp", "n", "block").distinct()
     meets = materialize(meets, "meets")
-    sets = whole_sets(materialize(meets.select("rep").union(members.select("rep")).distinct(), "compared"), docs, words)
+    sets = whole_sets(materialize(meets.select("rep").union(members.select("rep")).distinct(), "compared"), places, docs, words)
     hot = meets.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / 2048, F.sum("n") / (4 * BLOCK_TOKENS))).alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")
     asked = meets.join(hot, "block").select("rep", "grp", "n", "block", part).join(sets.select("rep", "low"), "rep")
@@ -250,48 +262,66 @@ def candidates(rows: DataFrame, sizes: DataFrame, docs: DataFrame, found: DataFr
     return opened.distinct(), sets
 
 
-def join(docs: DataFrame, *, words: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``; ``rounds``: of grouping, which don't change the result."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialize(ids.mapInArrow(_sketches(words, percent), "doc_id long, n long, k1 long, k2 long, toks array<long>"), "sketches")
+def linked(docs: DataFrame, *, words: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+    """file, row, doc_id, n_shingles, component_id and stays (is it its component's first row?) of rows (file, row, doc_id, text).
+
+    ``rounds``: of grouping, which don't change the result.
+    """
+    made = docs.select("file", "row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches(words, percent), "file string, row long, doc_id long, n long, k1 long, k2 long, toks array<long>")
+    # numbers of rows are fixed once they are written
+    sets = materialize(made.withColumn("line", F.monotonically_increasing_id()), "sketches")
     key = ["n", "k1", "k2"]
-    classes = materialize(sets.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "class-keys")
-    rep = sets.select("doc_id", *key).filter("n > 0").join(classes, key).select("doc_id", "n", "rep")
-    rep = materialize(rep, "classes")
-    # the sketch of a class is that of its representative
-    sketches = sets.filter("n > 0").join(classes.select(*key, "rep"), key).filter("doc_id = rep").select("rep", "n", "toks")
-    sketches = materialize(sketches.dropDuplicates(["rep", "n"]), "class-sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")).alias("keep")
+    classes = materialize(sets.filter("n > 0").groupBy(*key).agg(F.min("line").alias("rep"), first), "classes")
+    sketches = sets.join(classes.select(F.col("rep").alias("line")), "line", "left_semi").withColumnRenamed("line", "rep")
+    sketches = materialize(sketches.select("rep", "file", "row", "n", "toks"), "class-sketches")
+    places = sketches.select("rep", "file", "row")
     rows = sketches.select("rep", F.explode("toks").alias("tok"))
-    shared = F.count("*").over(Window.partitionBy("tok"))
-    rows = materialize(rows.select("tok", "rep", shared.alias("df")).filter("df > 1").drop("df"), "shared")
     sizes = materialize(sketches.select("rep", "n", F.size(F.filter("toks", lambda t: t < LATE)).cast("long").alias("m")), "sizes")
-    discard(classes)
-    links, found, before = None, None, rows
-    for _ in range(rounds):
+    links, found, before = None, None, None
+    for _ in range(max(1, rounds)):
         led = materialize(_across(rows, found), "across")
-        discard(before)
+        if before is not None:
+            discard(before)
         before, rows = led, led.select("tok", "rep")
+        if not rounds:
+            break
         pairs = materialize(_leaders(led, sizes, percent).distinct(), "leaders")
         if pairs.isEmpty():
             break
         named = materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "named")
-        some = whole_sets(named, docs, words)
+        some = whole_sets(named, places, docs, words)
         new = materialize(verified(pairs, some, percent), "group-links")
         discard(pairs, named, some)
         if new.isEmpty():
             break
         links = new if links is None else links.union(new)
         found = materialize(components(links), "groups")
-    pairs, some = candidates(rows, sizes, docs, found, words, percent)
+    pairs, some = candidates(rows, sizes, places, docs, found, words, percent)
     new = materialize(verified(pairs, some, percent), "last-links")
-    discard(before, sizes, sketches, some)
+    discard(before, sizes, some)
     links = new if links is None else links.union(new)
-    found = materialize(components(links), "components").select(F.col("node").alias("rep"), "component")
-    out = rep.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    return out.union(sets.filter("n = 0").select("doc_id", "n", "doc_id"))
+    found = materialize(components(links), "components").withColumnRenamed("node", "rep")
+    # the first row of a component is the first of its classes' first rows
+    best = found.join(classes.select("rep", "keep"), "rep").groupBy("component").agg(F.min("keep").alias("best"))
+    best = found.join(best, "component").select("rep", "best")
+    kept = materialize(classes.join(best, "rep", "left").select(*key, F.coalesce("best", "keep").alias("keep")), "kept")
+    out = sets.select("file", "row", "doc_id", "line", *key).join(kept, key, "left")
+    alone = F.col("keep").isNull()  # without a shingle
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id"))
+    return out.select("file", "row", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (alone | (F.col("keep.line") == F.col("line"))).alias("stays"))
+
+
+def join(docs: DataFrame, *, words: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``."""
+    rows, place = common.numbered(docs)
+    rows = rows.select(*[F.col(c).alias(n) for c, n in zip(place, ("file", "row"), strict=True)], "doc_id", "text")
+    return linked(rows, words=words, percent=percent, rounds=rounds).select("doc_id", "n_shingles", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group of linked documents; doc_id must be unique."""
-    gone = join(docs, words=words, percent=percent).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with one row of each group of linked rows; same columns."""
+    rows, place = common.numbered(docs)
+    own = rows.select(*[F.col(c).alias(n) for c, n in zip(place, ("file", "row"), strict=True)], "doc_id", "text")
+    gone = linked(own, words=words, percent=percent).filter("not stays").select("file", "row").toDF(*place)
+    return rows.join(gone, place, "left_anti").select(*common.columns(docs))

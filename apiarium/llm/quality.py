@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apiarium.llm import textcore
+from apiarium.llm import common, textcore
 
 BUCKETS, DIM, ONES = 1 << 13, 32, 4
 EXTRA = 8
@@ -75,7 +75,7 @@ def accumulate(table: np.ndarray, data: np.ndarray, off: np.ndarray) -> None:
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(BUCKETS * DIM)
     for batch in batches:
-        for _, _, data, off in textcore.blocks(batch.column(0), 4 << 20):
+        for _, _, data, off in textcore.blocks(batch.column(0), 1 << 20):
             accumulate(table, data, off)
     rows = table.reshape(BUCKETS, DIM)
     some = np.flatnonzero(rows.any(axis=1))
@@ -86,7 +86,7 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The normalised BUCKETS x DIM table over all rows."""
-    parts = docs.select("text").mapInArrow(_tables, "bucket long, v array<double>")
+    parts = docs.select("text").mapInArrow(textcore.tidy(_tables), "bucket long, v array<double>")
     sums = [F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(DIM)]
     table = np.zeros((BUCKETS, DIM), dtype=np.float32)
     for r in parts.groupBy("bucket").agg(*sums).toLocalIterator():
@@ -187,7 +187,7 @@ def _features(shared):
                 ends = pa.array(np.arange(j - i + 1, dtype=np.int32) * FEATURES)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["label", "x"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "quality", max_labelled: int = 20_000, seed: int = 5) -> Model:
@@ -201,6 +201,7 @@ def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "quality", max_lab
     # the sample is bounded by max_labelled, so it goes to the texts, which stay where they are
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").select(F.col("label").cast("double"), "text")
     got = rows.mapInArrow(_features(shared), "label double, x array<float>").toArrow()
+    shared.destroy()
     y = got["label"].to_numpy()
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64) if len(y) else np.zeros((0, FEATURES))
     order = np.lexsort((*x.T[:8], y)) if len(y) else np.zeros(0, np.int64)  # the same rows in the same order, however they came
@@ -215,7 +216,7 @@ def _score(shared):
                 p = model.net.probability(features(model.table, data, off).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p)], names=["doc_id", "score"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -226,7 +227,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the documents that score below the threshold; same columns."""
-    names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,4 +236,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
                 p = shared.value.net.probability(features(shared.value.table, data, off).astype(np.float64))
                 yield batch.slice(i, j - i).filter(pa.array(p >= threshold))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.select(*common.columns(docs)).mapInArrow(textcore.tidy(run), docs.schema)

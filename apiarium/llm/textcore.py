@@ -8,12 +8,14 @@ bounds memory by the block, not by the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
 
@@ -29,6 +31,23 @@ _RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint6
 _FOLDED = _RANDOM[LOWER]
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` with its memory given back at the end of a task, since Python workers live on and many share a machine."""
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not the GNU library
+                pass
+
+    return task
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit hashes."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

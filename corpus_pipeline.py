@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which the caller writes as
 Parquet and reads again as the next stage's ``docs``. All but the last return the columns of
-documents. Rows that a stage cannot judge by identifier (a null doc_id) are kept.
+documents. Stages judge and drop rows, never identifiers, so rows that repeat a doc_id or have
+none are treated by what they hold.
 """
 
 from __future__ import annotations
@@ -11,24 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from apiarium.llm import common, decontamination, mixing, ngram_join, quality, sharding
 from apiarium.scratch import materialize
-from apiarium.shipping import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labels of these documents, does not reject."""
-    ship(spark)
+    common.prepare(spark)
     return quality.keep_good(docs, quality.fit(docs, common.labels(spark, sf_dir)))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group of near duplicates."""
-    ship(spark)
+    common.prepare(spark)
     return ngram_join.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    ship(spark)
+    common.prepare(spark)
     return decontamination.clean(docs, common.benchmark(spark, sf_dir))
 
 

@@ -165,11 +165,11 @@ def _across(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     frequent. Groups only grow, so a token of one group is out for good.
     """
     rows = _grouped(rows, found)
-    lo, hi = F.min("grp").alias("lo"), F.max("grp").alias("hi")
     if found is None:  # every class is its own group
-        ends = rows.groupBy("tok").agg(lo, hi).withColumns({"first": F.col("lo"), "last": F.col("hi")})
-    else:
-        ends = rows.groupBy("tok").agg(lo, hi, F.min_by("rep", "grp").alias("first"), F.max_by("rep", "grp").alias("last"))
+        ends = rows.groupBy("tok").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).withColumns({"first": F.col("lo"), "last": F.col("hi")})
+    else:  # the same class for all tokens of a group, as far as it holds them
+        me = F.struct("grp", "rep")
+        ends = rows.groupBy("tok").agg(F.min(me).alias("x"), F.max(me).alias("y")).select("tok", F.col("x.grp").alias("lo"), F.col("y.grp").alias("hi"), F.col("x.rep").alias("first"), F.col("y.rep").alias("last"))
     return rows.join(ends.filter("lo < hi"), "tok")
 
 

@@ -7,13 +7,14 @@ the language of the centroid with the largest cosine. A text whose cosine lies b
 language's own low quantile is *rejected* (reported beside the prediction, for open-set use).
 
 Document frequencies are counted over all training rows; only the k-means sample is bounded:
-about ``per_language`` rows of each language, chosen by a hash of doc_id. Every language found
+``per_language`` different texts of each language, those of the lowest hashes. Every language found
 is learned; what is broadcast is clusters * DIM * 4 bytes (64 KB) a language. Centroids are
 scored ``BLOCK_LANGUAGES`` languages at a time, which bounds the table of cosines.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; null or unknown
 languages train nothing; without any training row every text is ``und``; texts of any length
-are read whole; repeated rows are predicted alike; other columns are ignored.
+are read whole; repeated rows are predicted alike, and count once in the sample whatever
+their doc_id, which training never reads; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from apiarium.llm import textcore
 
@@ -148,16 +150,26 @@ class Model:
         return [self.langs[o] if s else "und" for o, s in zip(own, some, strict=True)], score, ~some | (score < self.floors[own])
 
 
+def sample(train: DataFrame, per_language: int) -> DataFrame:
+    """(lang, text): at most ``per_language`` different texts of each language, those of the lowest hashes.
+
+    A rate that lets a few more pass thins the rows first, so that little is ranked.
+    """
+    hashed = train.select("lang", "text", F.xxhash64("text").alias("h"))
+    u = F.pmod("h", F.lit(1 << 40)) / (1 << 40)
+    rates = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).select("lang", (F.lit(1.5 * per_language + 50) / F.col("n")).alias("rate"))
+    few = hashed.join(rates, "lang").filter(u < F.col("rate")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))
+    return few.withColumn("place", place).filter(F.col("place") <= per_language).select("lang", "text")
+
+
 def fit(train: DataFrame, *, clusters: int = 4, per_language: int = 400) -> Model:
-    """Learns from (doc_id, text, lang) rows."""
+    """Learns from rows (text, lang)."""
     train = train.filter("lang is not null and text is not null")
-    rates = train.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("rate"))
-    df = {r["dim"]: r["n"] for r in train.select("text").mapInArrow(_df, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
+    df = {r["dim"]: r["n"] for r in train.select("text").mapInArrow(textcore.tidy(_df), "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
     n = df.get(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + df.get(d, 0))) + 1 for d in range(DIM)], dtype=np.float32)
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    sample = train.join(F.broadcast(rates), "lang").filter(u < F.col("rate")).select("lang", "text")
-    made = sample.groupBy("lang").applyInPandas(_centroids(idf, clusters), "lang string, centroids binary, floor double").collect()
+    made = sample(train, per_language).groupBy("lang").applyInPandas(_centroids(idf, clusters), "lang string, centroids binary, floor double").collect()
     made.sort(key=lambda r: r["lang"])
     return Model(idf, [r["lang"] for r in made], [np.frombuffer(r["centroids"], dtype=np.float32).reshape(-1, DIM) for r in made], [r["floor"] for r in made])
 
@@ -172,7 +184,7 @@ def _predict(shared):
                     lang, score, rejected = shared.value.predict(_texts(few.column(1)))
                     yield pa.RecordBatch.from_arrays([few.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

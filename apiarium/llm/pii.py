@@ -14,15 +14,18 @@ them; the texts are read once.
 
 Defined cases: null text is empty, and without spans; overlapping candidates give way to base
 spans and to those before them; positions are code points, the end exclusive; rows that
-repeat a doc_id are rows of their own; other columns are ignored. Texts of any length are
-scanned in linear time.
+repeat a doc_id, or have none, are rows of their own; an empty table gives an empty result;
+other columns are ignored. A text is scanned in linear time, and each of its candidates
+looked up among the base spans by bisection.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -147,19 +150,18 @@ def document(text: str) -> list[tuple[int, int, int, bool, int]]:
     """(kind, start, end, is base, pattern) of every candidate: base ones, then looser ones that touch none before."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
-    kept = []
+    starts = [a for a, _ in taken]
+    reach = list(accumulate((b for _, b in taken), max))  # the last end so far: base spans of two kinds may overlap
+    kept, end = [], 0
     for k, a, b in sorted(loose_spans(text), key=lambda x: (x[1], -x[2], x[0])):
-        if kept and a < kept[-1][2]:
-            continue
-        i = np.searchsorted([x for x, _ in taken], a, side="right") if taken else 0
-        if (i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < b):
+        i = bisect_right(starts, a)
+        if a < end or (i and reach[i - 1] > a) or (i < len(taken) and starts[i] < b):
             continue
         kept.append((k, a, b))
-    starts = np.array([a for a, _ in taken])
+        end = b
     out = []
     for (k, a, b), strict in [*((x, True) for x in base), *((x, False) for x in kept)]:
-        i, j = np.searchsorted(starts, a - 200), np.searchsorted(starts, b + 200) if len(starts) else 0
-        near = int(j - i) - (1 if strict else 0) if len(starts) else 0
+        near = bisect_left(starts, b + 200) - bisect_left(starts, a - 200) - strict
         out.append((k, a, b, strict, votes(text, k, a, b, strict, near > 0)))
     return out
 
@@ -265,7 +267,7 @@ def _decide(model: Model, threshold: float):
 
 def find(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     """doc_id and spans (kind as a number of ``KINDS``, start, end, base) of each row, by kind and start."""
-    made = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_candidates, CANDIDATES), "candidates")
+    made = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(textcore.tidy(_candidates), CANDIDATES), "candidates")
     seen = made.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.code").agg(F.count("*").alias("n")).orderBy("kind", "code").toPandas()
     model = fit(seen["kind"].to_numpy(), seen["code"].to_numpy(), seen["n"].to_numpy())
     return made.mapInArrow(_decide(model, threshold), "doc_id long, spans array<struct<kind:byte,start:long,end:long,base:boolean>>")

@@ -5,13 +5,15 @@ divided at the weighted quantile floor(m/2)/m along its widest dimension. The qu
 from distributed sums of bytes over 512 bins of each node, refined inside the bin that holds
 it until that bin weighs less than a set part of a leaf. A leaf holds about the target bytes.
 
-Dimensions are source, language, size and doc_id of a *group* (documents of equal text take
-the coordinates of their smallest doc_id), so copies fall into one shard; a group heavier
-than ``heavy`` of a leaf is not kept together, its rows take coordinates of their own. Text
-dimensions are numbers in the order of their first bytes; a fraction from a hash of the
-group parts equal values, so that a hot value can be cut too.
+Dimensions are source, language, size and doc_id of a *group*: documents of equal text take
+the coordinates of their smallest doc_id. A value of source or language is the share of all
+bytes that lies before it in the order of values, so every value has the room that it weighs.
+Inside a value a hash of the text parts the groups, and, 2^30 times finer, a hash of the row
+parts a group. So copies fall into one shard, except where a cut has to go through a group,
+as it does through one too heavy for the balance; the rule is the same for all groups.
 
-What reaches the driver is bounded by the number of shards times 512 sums, whatever the data.
+Nodes and cuts are tables that are joined by node number, so nothing of a number that grows
+with the data or the shards is collected: the driver sees four extents and two totals.
 
 Defined cases: a null text weighs ``overhead`` bytes; null source or language is the lowest
 value; a null doc_id counts as 0; rows that repeat a doc_id are rows of their own; an empty
@@ -26,112 +28,124 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from apiarium.scratch import materialize
+from apiarium.scratch import discard, materialize
 
 DIMS = ("d0", "d1", "d2", "d3")
 BINS = 512
 
 
-def _prefix(c: Column, jitter: Column) -> Column:
-    """A number in the byte order of the first five bytes, plus a fraction below 1."""
-    first = F.substring(F.coalesce(F.encode(c, "UTF-8"), F.lit(b"")), 1, 5)
-    padded = F.rpad(F.hex(first), 10, "0")
-    return F.conv(padded, 16, 10).cast("double") + jitter
-
-
 def metadata(docs: DataFrame, overhead: int = 16) -> DataFrame:
     """The columns that the tree needs; the text is read once and goes no further."""
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", "source", "lang", (F.length(body) + F.lit(overhead)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), key.alias("text_key"))
+    return docs.select("doc_id", "source", "lang", (F.length(body) + F.lit(overhead)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), key.alias("text_key"), F.monotonically_increasing_id().alias("line"))
 
 
-def coordinates(meta: DataFrame, leaf: float, heavy: float) -> DataFrame:
-    """Adds d0 to d3 to each row: those of its text's group, or its own where the group is heavy."""
-    group = meta.groupBy("text_key", "text_crc32", "size").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "source", "lang")).alias("g"), F.count("*").alias("n"))
-    light = group.filter((F.col("n") > 1) & (F.col("n") * F.col("size") <= F.lit(heavy * leaf))).drop("n")
-    rows = meta.join(light, ["text_key", "text_crc32", "size"], "left")
-    own = F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "source", "lang")
-    rows = rows.withColumn("g", F.coalesce("g", own))
-    jitter = F.pmod(F.xxhash64("g.id"), F.lit(4096)) / 4096
-    return rows.select("doc_id", "size", "text_crc32", _prefix(F.col("g.source"), jitter).alias("d0"), _prefix(F.col("g.lang"), jitter).alias("d1"), (F.log2(F.col("size").cast("double") + 1) + jitter / 64).alias("d2"), (F.col("g.id").cast("double") + jitter / 4096).alias("d3"))
+def value_room(rows: DataFrame, value: Column, weight: Column) -> DataFrame:
+    """(v, before, share): of all weight, what lies before each value in order and what it has itself.
 
-
-def _where(cuts: list[tuple], value) -> Column:
-    """A CASE over the nodes of a level."""
-    out = None
-    for node, *rest in cuts:
-        out = F.when(F.col("node") == node, value(*rest)) if out is None else out.when(F.col("node") == node, value(*rest))
-    return out
+    Values are dealt by range, summed in their ranges, and the ranges' sums (one for each
+    shuffle partition) are added up; no task sees all values.
+    """
+    values = rows.groupBy(value.alias("v")).agg(F.sum(weight).alias("w"))
+    ranged = materialize(values.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    parts = ranged.groupBy("part").agg(F.sum("w").alias("pw"))
+    upto = F.sum("pw").over(Window.orderBy("part"))
+    total = F.sum("pw").over(Window.partitionBy(F.lit(0)))
+    parts = parts.select("part", (upto - F.col("pw")).alias("base"), total.alias("total"))
+    inside = F.sum("w").over(Window.partitionBy("part").orderBy(F.asc_nulls_first("v"))) - F.col("w")
+    return ranged.join(F.broadcast(parts), "part").select("v", ((F.col("base") + inside) / F.col("total")).alias("before"), (F.col("w") / F.col("total")).alias("share"))
+
+
+def _unit(*c: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(*c), F.lit(1 << bits)) / (1 << bits)
+
+
+def coordinates(meta: DataFrame) -> DataFrame:
+    """Adds d0 to d3 to each row: those of its text's group, with the row's own hash in the last digits."""
+    own = F.struct(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), "source", "lang")
+    key = ["text_key", "text_crc32", "size"]
+    several = meta.groupBy(*key).agg(F.min(own).alias("g"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = materialize(meta.join(several, key, "left").withColumn("g", F.coalesce("g", own)), "groups")
+    inner = _unit(F.col("text_key"), F.col("text_crc32"), bits=30) + _unit(F.col("line"), F.lit(1), bits=20) / (1 << 30)
+    rows = rows.withColumn("inner", inner)
+    for d, name in (("d0", "source"), ("d1", "lang")):
+        room = value_room(rows, F.col(f"g.{name}"), F.col("size"))
+        rows = rows.join(room, F.col(f"g.{name}").eqNullSafe(F.col("v")))
+        rows = rows.withColumn(d, F.col("before") + F.col("share") * F.col("inner")).drop("v", "before", "share")
+    d2 = F.log2(F.col("size").cast("double") + 1) + F.col("inner") / 64
+    d3 = F.col("g.id").cast("double") + F.col("inner") / 4096
+    return rows.select("doc_id", "size", "text_crc32", "d0", "d1", d2.alias("d2"), d3.alias("d3"))
+
+
+def _along() -> Column:
+    """The row's coordinate along the dimension ``dim``."""
+    return F.element_at(F.array(*map(F.col, DIMS)), F.col("dim"))
+
+
+def _refined(at: DataFrame, cuts: DataFrame, light: float) -> DataFrame:
+    """The open cuts after one more division of their intervals: closer, or settled."""
+    here = at.join(cuts.select("node", "dim", "lo", "hi"), "node").withColumn("x", _along()).filter("x between lo and hi")
+    bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("x") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * BINS))
+    bins = here.groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("w"), F.min("x").alias("a"), F.max("x").alias("b"))
+    bins = bins.withColumn("upto", F.sum("w").over(Window.partitionBy("node").orderBy("bin")))
+    # the first bin that reaches what is wanted below the cut; the last one, if rounding leaves none
+    bins = bins.join(cuts.select("node", "want"), "node")
+    hit = bins.groupBy("node").agg(F.coalesce(F.min_by(F.struct("w", "a", "b", "upto"), F.when(F.col("upto") >= F.col("want"), F.col("bin"))), F.max_by(F.struct("w", "a", "b", "upto"), "bin")).alias("h"))
+    left = F.col("want") - (F.col("h.upto") - F.col("h.w"))
+    settled = (F.col("h.w") <= light) | (F.col("h.a") == F.col("h.b"))
+    # the bin goes where its larger part is wanted
+    whole = left > F.col("h.w") / 2
+    out = cuts.drop("done", "at", "closed").join(hit, "node")
+    keep = [c for c in cuts.columns if c not in ("want", "lo", "hi", "done", "at", "closed")]
+    return out.select(*keep, left.alias("want"), F.col("h.a").alias("lo"), F.col("h.b").alias("hi"), settled.alias("done"), F.when(whole, F.col("h.b")).otherwise(F.col("h.a")).alias("at"), whole.alias("closed"))
 
 
 def split(rows: DataFrame, shards: int, tolerance: float = 0.002) -> DataFrame:
     """``rows`` (size, d0 to d3) with the column ``shard``, 0 to shards - 1."""
-    owed = {0: (0, shards)}  # node: first shard, how many
-    node = F.lit(0)
-    whole = rows.agg(*[f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))], F.sum("size").alias("w")).first()
-    if whole["w"] is None:
+    whole = rows.agg(*[(F.max(d) - F.min(d)).alias(d) for d in DIMS], F.sum("size").alias("w")).first()
+    if whole["w"] is None or shards < 2:
         return rows.withColumn("shard", F.lit(0))
-    leaf = whole["w"] / shards
-    extent = {d: max(whole[f"hi_{d}"] - whole[f"lo_{d}"], 1e-12) for d in DIMS}
-    while any(m > 1 for _, m in owed.values()):
-        at = rows.withColumn("node", node)
-        stats = at.groupBy("node").agg(*[f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))], F.sum("size").alias("w")).collect()
-        cut = {}
-        for r in stats:
-            m = owed[r["node"]][1]
-            if m > 1:
-                d = max(DIMS, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / extent[d])
-                # what is wanted below the cut, and the interval that holds it
-                cut[r["node"]] = [d, r["w"] * (m // 2) / m, r[f"lo_{d}"], r[f"hi_{d}"], False]
-        while any(not c[4] for c in cut.values()):
-            open_ = [(n, c[0], c[2], c[3]) for n, c in cut.items() if not c[4]]
-            inside = _where(open_, lambda d, lo, hi: F.when((F.col(d) >= F.lit(lo)) & (F.col(d) <= F.lit(hi)), F.least(F.lit(BINS - 1), F.floor((F.col(d) - F.lit(lo)) / F.lit(max(hi - lo, 1e-300)) * BINS))))
-            found = at.withColumn("bin", inside).filter("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("w"), F.min(_where(open_, lambda d, lo, hi: F.col(d))).alias("lo"), F.max(_where(open_, lambda d, lo, hi: F.col(d))).alias("hi")).collect()
-            by: dict[int, list] = {}
-            for r in found:
-                by.setdefault(r["node"], []).append(r)
-            for n, _, _, _ in open_:
-                c, left = cut[n], cut[n][1]
-                for r in sorted(by.get(n, []), key=lambda r: r["bin"]):
-                    if r["w"] < left:
-                        left -= r["w"]
-                        continue
-                    if r["w"] <= tolerance * leaf or r["lo"] == r["hi"]:
-                        c[2:] = [r["hi"] if left > r["w"] / 2 else math.nextafter(r["lo"], -math.inf), None, True]
-                    else:
-                        c[1:4] = [left, r["lo"], r["hi"]]
-                    break
-                else:
-                    c[2:] = [c[3], None, True]
-        grown: dict[int, tuple[int, int]] = {}
-        for n, (first, m) in owed.items():
-            if m > 1:
-                grown[2 * n + 1], grown[2 * n + 2] = (first, m // 2), (first + m // 2, m - m // 2)
-            else:
-                grown[n] = (first, m)
-        moves = [(n, c[0], c[2]) for n, c in cut.items()]
-        step = None
-        for n, d, x in moves:
-            to = F.when(F.col(d) <= F.lit(x), F.lit(2 * n + 1)).otherwise(F.lit(2 * n + 2))
-            step = F.when(F.col("node") == n, to) if step is None else step.when(F.col("node") == n, to)
-        # leaf numbers stay apart from those of the next level, which are all larger
-        rows = materialize(at.withColumn("node", step.otherwise(F.col("node"))), "kd-level")
-        node, owed = F.col("node"), grown
-    shard = _where([(n, first) for n, (first, _) in owed.items()], F.lit) if len(owed) > 1 else F.lit(0)
-    return rows.withColumn("node", node).withColumn("shard", shard.cast("int")).drop("node")
+    light = tolerance * whole["w"] / shards
+    # node, its first shard, how many it owes
+    nodes = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("node"), F.lit(0).alias("first"), F.lit(shards).alias("m"))
+    at = rows.withColumn("node", F.lit(0).cast("long"))
+    for _ in range(math.ceil(math.log2(shards))):
+        stats = at.groupBy("node").agg(*[f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))], F.sum("size").alias("w"))
+        wide = F.array(*[F.struct(((F.col(f"hi_{d}") - F.col(f"lo_{d}")) / max(whole[d], 1e-12)).alias("extent"), F.lit(-i).alias("i"), F.col(f"lo_{d}").alias("lo"), F.col(f"hi_{d}").alias("hi")) for i, d in enumerate(DIMS, 1)])
+        want = F.col("w") * F.floor(F.col("m") / 2) / F.col("m")
+        cuts = stats.join(nodes.filter("m > 1"), "node").withColumn("widest", F.array_max(wide))
+        cuts = materialize(cuts.select("node", (-F.col("widest.i")).alias("dim"), want.alias("want"), "widest.lo", "widest.hi", F.lit(False).alias("done"), F.lit(0.0).alias("at"), F.lit(True).alias("closed")), "kd-cuts")
+        settled = []
+        while not cuts.isEmpty():
+            found = materialize(_refined(at, cuts, light), "kd-cuts")
+            settled.append(found.filter("done"))
+            cuts = found.filter("not done")
+        done = settled[0]
+        for more in settled[1:]:
+            done = done.union(more)
+        below = (_along() < F.col("at")) | ((_along() == F.col("at")) & F.col("closed"))
+        child = F.when(F.col("dim").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(below, 1).otherwise(2))
+        moved = materialize(at.join(done.select("node", "dim", "at", "closed"), "node", "left").withColumn("node", child).select(*rows.columns, "node"), "kd-level")
+        if hasattr(at, "_scratch_path"):
+            discard(at)
+        at = moved
+        half = F.floor(F.col("m") / 2).cast("int")
+        sides = F.array(F.struct((2 * F.col("node") + 1).alias("node"), F.col("first"), half.alias("m")), F.struct((2 * F.col("node") + 2).alias("node"), (F.col("first") + half).alias("first"), (F.col("m") - half).alias("m")))
+        nodes = nodes.select(F.explode(F.when(F.col("m") > 1, sides).otherwise(F.array(F.struct("node", "first", "m")))).alias("n")).select("n.*")
+    return at.join(nodes.select("node", F.col("first").cast("int").alias("shard")), "node").drop("node")
 
 
 def with_slots(rows: DataFrame, shards: int, spread: int) -> DataFrame:
     """Adds ``slot``: 0, 1, 2.. within the shard, without sorting a shard in one task."""
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(spread)).cast("int"))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")))
     return ranked.join(before, ["shard", "part"]).withColumn("slot", (F.col("base") + F.col("rank") - 1).cast("long")).drop("base", "rank", "part")
 
 
-def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int | None = None, overhead: int = 16, heavy: float = 0.25) -> DataFrame:
+def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int | None = None, overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of ``docs``.
 
     Either the number of shards is given, or ``target_bytes``, the size of a leaf.
@@ -142,6 +156,6 @@ def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int |
         if not target_bytes:
             raise ValueError("give shards or target_bytes")
         shards = max(1, math.ceil(total["w"] / target_bytes))
-    rows = materialize(coordinates(meta, max(total["w"], 1) / shards, heavy), "coordinates")
+    rows = materialize(coordinates(meta), "coordinates")
     out = with_slots(split(rows, shards), shards, max(16, math.ceil(total["n"] / (shards * 100_000))))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

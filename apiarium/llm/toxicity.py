@@ -1,5 +1,8 @@
 """Toxicity by compression distance.
 
+The dictionaries hold words rather than whole texts, and zstandard does not train them:
+those that it trains on texts do worse by far (figures in the README).
+
 Two zstandard dictionaries are made: one of ordinary text, one of toxic text, which is the
 same common language with what toxic documents have of their own. A text is cut into short
 windows of whole words, twice with a shift of half a window; each window is compressed with
@@ -8,9 +11,8 @@ savings of a document's windows (largest ones, how many pass each threshold) giv
 through a logistic calibration on labelled rows that its dictionaries have not seen; the
 dictionaries of the finished model then come from all rows of the sample.
 
-A word is toxic text if toxic documents have it, each counted once, after several different
-words and, for the size of either class, ordinary ones hardly do; counting the neighbours of
-first places keeps out what is frequent by copies or within one document only. Beginnings of
+A word is toxic text if toxic documents have it, each counted once and copies of a passage
+together, and, for the size of either class, ordinary ones hardly do. Beginnings of
 words are judged alike, by all words that have them, and bring those words along. Both dictionaries place common words
 at the same distance, so that they differ by the toxic words alone.
 
@@ -140,19 +142,29 @@ class Compressors:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, pair, label): each word of a document, once, paired with the word before its first place."""
+    """(word, place, label): each word of a document, once, with a hash of what stands around its first place.
+
+    That is the second and third word on either side, so that a fixed phrase has as many
+    places as texts, and copies of one text have one.
+    """
     for batch in batches:
         label = np.asarray(batch.column(0))
         for i, _, data, off in textcore.blocks(batch.column(1)):
             s, e, row = textcore.words(data, off, IS_LETTER)
+            if not len(s):
+                continue
             h = textcore.span_hashes(data, s, e)
-            g, at = textcore.grams(h, row, 2)
-            _, one = np.unique(textcore.mix(h[at + 1] + row[at].astype(np.uint64)), return_index=True)
-            kind = label[i + row[at]]
+            _, one = np.unique(textcore.mix(h + row.astype(np.uint64)), return_index=True)
+            around = h[one].copy()
+            for j in (-3, -2, 2, 3):
+                at = one + j
+                inside = (at >= 0) & (at < len(h))
+                inside[inside] = row[at[inside]] == row[one[inside]]
+                around = textcore.mix(around + np.where(inside, h[np.where(inside, at, 0)], np.uint64(0)))
+            kind = label[i + row[one]]
             text = FOLD[data].tobytes()
-            at = at[one] + 1
-            names = pa.array([text[a:b].decode("utf-8", "replace") for a, b in zip(s[at], e[at], strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([names, pa.array(g[one].view(np.int64)), pa.array(kind[one].astype(np.int32))], names=["word", "pair", "label"])
+            names = pa.array([text[a:b].decode("utf-8", "replace") for a, b in zip(s[one], e[one], strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([names, pa.array(around.view(np.int64)), pa.array(kind.astype(np.int32))], names=["word", "place", "label"])
 
 
 class Model:
@@ -192,12 +204,12 @@ def _features(shared):
                 ends = pa.array(np.arange(j - i + 1, dtype=np.int32) * FEATURES)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["label", "x"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def learn(rows: DataFrame, *, common: int, near: int, specific: int) -> Compressors:
     """The two dictionaries from (label, text) rows."""
-    pairs = rows.select("label", "text").mapInArrow(_words, "word string, pair long, label int").distinct()
+    pairs = rows.select("label", "text").mapInArrow(textcore.tidy(_words), "word string, place long, label int").distinct()
     pairs = materialize(pairs.groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")), "words")
     total = pairs.agg(F.sum("t"), F.sum("o")).first()
     odds = F.log((F.col("t") + 0.5) / (total[0] or 1)) - F.log((F.col("o") + 0.5) / (total[1] or 1))
@@ -259,7 +271,7 @@ def _score(shared):
             for i, j, data, off in textcore.blocks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(shared.value.score(data, off))], names=["doc_id", "score"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -58,6 +58,16 @@ def test_more_languages_than_a_block(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.9 and {r.lang_pred for r in got} & {f"l{i}" for i in range(256, 300)}
 
 
+def test_language_sample_is_bounded_and_needs_no_identifier(spark):
+    words = ["der hund und die katze", "the dog and the cat"]
+    rows = [(1 if i % 2 else None, f"{words[i % 2]} {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", ("de", "en")[i % 2]) for i in range(3000)]
+    rows += [(7, "one text of many copies", "en")] * 3000
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = langid.sample(train, 100).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in few} == {"de": 100, "en": 100}
+    assert langid.fit(train).langs == ["de", "en"]
+
+
 def test_quality(spark, odd, labelled):
     docs = common.documents(spark, SF)
     held = queries.op8_quality(spark, SF).filter("held_out").join(common.labels(spark, SF), "doc_id")

@@ -43,6 +43,18 @@ def test_very_long_texts_take_linear_time():
     assert [len(pii.document(t)) > 0 for t in long] == [True, False, False, False, True]
 
 
+def test_many_candidates_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"a{i}@b.com 904-555-{1000 + i % 9000}" for i in range(n))
+        began = time.perf_counter()
+        assert len(pii.document(text)) == 2 * n
+        return time.perf_counter() - began
+
+    assert seconds(20_000) < 12 * max(seconds(4_000), 0.02)
+
+
 def test_empty_table(spark):
     assert pii.digest(pii.find(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 

@@ -65,7 +65,7 @@ def test_decontamination(spark, docs, texts, limit):
         m = min(10, len(w))
         for p in range(len(w) - m + 1) if m and i else ():
             windows[tuple(w[p : p + m])].add(i)
-    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.digest(decontamination.report(docs, bench.filter("item_id is not null") if limit == 0 else bench, max_broadcast=limit)).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.digest(decontamination.report(docs, bench, max_broadcast=limit)).collect())
     want = Counter()
     for d, t in rows_of(docs):
         w = ALNUM.findall((t or "").translate(LOWER))
@@ -77,10 +77,15 @@ def test_decontamination(spark, docs, texts, limit):
                     found |= windows[k]
         want[(d, len(w), len(hit), len(found), decontamination.items_sha256(list(found)), bool(hit))] += 1
     assert got == want
+    clean = decontamination.clean(docs, bench, max_broadcast=limit)
+    assert clean.columns == docs.columns
+    assert Counter(r.doc_id for r in clean.collect()) == Counter(k[0] for k in want.elements() if not k[5])
 
 
 def test_decontamination_of_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "item_id string, text string")
+    assert decontamination.report(docs, none, max_broadcast=-1).filter("n_hit > 0").count() == 0
+    assert decontamination.report(empty, none, max_broadcast=-1).count() == 0
     assert decontamination.digest(decontamination.report(docs, none)).filter("contaminated").count() == 0
     assert decontamination.report(empty, none).count() == 0
     assert decontamination.clean(docs, none).columns == docs.columns
@@ -90,10 +95,31 @@ def test_exact_dedup(docs, empty):
     groups = defaultdict(list)
     for d, t in rows_of(docs):
         groups[(t or "").translate(LOWER)].append(d)
-    want = Counter((d, max(g), len(g), d == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for d in g)
+    sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in groups}
+    want = Counter((d, max(g), len(g), sha[t]) for t, g in groups.items() for d in g)
     for chunks in ({}, {"mean": 64, "least": 16, "most": 256}):
-        assert Counter(map(tuple, exact_dedup.duplicate_groups(docs, **chunks).collect())) == want
-    assert exact_dedup.duplicate_groups(empty).count() == 0
+        got = exact_dedup.duplicate_groups(docs, **chunks).collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+        # one row of each group, one with the largest doc_id
+        assert Counter((r.doc_id, r.text_sha256) for r in got if r.kept) == Counter((max(g), sha[t]) for t, g in groups.items())
+    left = exact_dedup.drop_duplicates(docs)
+    assert left.columns == docs.columns and left.count() == len(groups)
+    assert exact_dedup.duplicate_groups(empty).count() == exact_dedup.drop_duplicates(empty).count() == 0
+
+
+def test_exact_dedup_without_identifiers(spark):
+    rows = [(5, "Same", "x"), (5, "same", "y"), (None, "q", "z"), (None, "Q", "w"), (3, "q", "v"), (None, None, "n"), (None, "", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    left = exact_dedup.drop_duplicates(docs).collect()
+    assert sorted((r.doc_id or 0, r.text.lower() if r.text else "") for r in left) == [(0, ""), (3, "q"), (5, "same")]
+    assert Counter((r.keep_id, r.group_size) for r in exact_dedup.duplicate_groups(docs).collect()) == {(5, 2): 2, (3, 3): 3, (None, 2): 2}
+
+
+def test_exact_dedup_with_collisions(docs, monkeypatch):
+    """With every chunk of one length under one identifier, contents alone decide."""
+    real = exact_dedup.duplicate_groups(docs).collect()
+    monkeypatch.setattr(exact_dedup, "_doubtful", lambda made: made.select("line"))
+    assert Counter(map(tuple, exact_dedup.duplicate_groups(docs).collect())) == Counter(map(tuple, real))
 
 
 def test_chunks_depend_on_content_only():
@@ -133,6 +159,21 @@ def test_ngram_join(docs, empty):
     assert {r.doc_id for r in kept.collect()} == {d for d in sets if find(d) == d}
 
 
+def test_ngram_join_by_rows(spark):
+    """Rows that repeat a doc_id, or have none, are linked by their own texts."""
+    rng = random.Random(8)
+    texts = [sentence(rng, 100, 10**6).split() for _ in range(3)]
+    near = [" ".join([*t[:50], "changed", *t[51:]]) for t in texts]
+    a, b, c = (" ".join(t) for t in texts)
+    rows = [(1, a, "p"), (1, b, "q"), (2, near[0], "r"), (3, near[1], "s"), (None, c, "t"), (None, near[2], "u"), (9, c, "v"), (None, None, "w"), (4, "", "x"), (4, "", "y"), (None, "z " * 4, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect())
+    assert got == Counter([(1, 96, 1), (1, 96, 1), (2, 96, 1), (3, 96, 1), (None, 96, 9), (None, 96, 9), (9, 96, 9), (None, 0, None), (4, 0, 4), (4, 0, 4), (None, 1, None)])
+    kept = ngram_join.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["a.b"] for r in kept.collect()) == ["p", "q", "v", "w", "x", "y", "z"]
+
+
 def test_mixing(docs, empty):
     rows = [(r.doc_id, len(SPACED.findall(r.text or "")), r.source) for r in docs.collect()]
     sizes = Counter()
@@ -153,7 +194,17 @@ def test_mixing(docs, empty):
     assert Counter(map(tuple, mixing.mixed(docs.repartition(2)).collect())) == Counter(map(tuple, out))
     drawn = mixing.draw(docs)
     assert drawn.columns == docs.columns and drawn.count() == sum(r.copies for r in out)
-    assert mixing.mixed(empty).count() == 0
+    assert mixing.mixed(empty).count() == 0 and mixing.draw(empty).count() == 0
+
+
+def test_mixing_without_identifiers(spark):
+    rng = random.Random(5)
+    rows = [(None, sentence(rng, 20), s, 1) for s in ("a", "b") for _ in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `_mix.x` int")
+    by = {r.target: r.taken for r in mixing.mixed(docs).groupBy("target").agg({"taken": "sum"}).toDF("target", "taken").collect()}
+    assert all(abs(t - n) < 0.03 * t for t, n in by.items()) and len(by) == 2
+    drawn = mixing.draw(docs)
+    assert drawn.columns == docs.columns and abs(drawn.count() - 1200) < 30
 
 
 def test_budget_stops_at_the_cap():

@@ -4,16 +4,17 @@ Texts are sequences of lower-cased words and one end token. All training tokens
 The model predicts a token from the two before it: the context vector is the sum of their
 vectors, each passed through the weights of its position. A word's probability is that of its
 class times its own inside the class; either score is the product with a vector of its own
-plus a bias, normalised exactly by batched matrix products. The vocabulary is the end, all
-``frequent`` words that are broadcast, and ``CLASSES`` shapes (last sign, non-ASCII letters,
-length) for the rare tail; inside its shape a rare word has its smoothed share of the counts,
-and one unseen word has 0.5.
+plus a bias, normalised exactly by batched matrix products. The vocabulary is the end, the
+``vocabulary`` most frequent words, and ``CLASSES`` shapes (last sign, non-ASCII letters,
+length) for the others; inside its shape a word has its smoothed share of the counts, and one
+unseen word has 0.5.
 
 Training sees every training token: the texts are dealt to ``rounds`` rounds by hash, in each
-to at most ``trainers`` tasks, and a task makes noise-contrastive steps in numpy over all its
-tokens, once, as they stream by; the parameters are averaged after each round. A task with few
-texts goes over them again until it has made ``steps`` steps. Which texts a task has follows
-the layout of the input, so the model's last digits do too.
+to as many tasks as ``slice_tokens`` tokens for each ask for (``trainers`` at least), and a
+task makes noise-contrastive steps in numpy over all its tokens, once, as they stream by; the
+parameters are averaged after each round, in two levels. A task with few texts goes over them
+again until it has made ``steps`` steps. Which texts a task has follows the layout of the
+input, so the model's last digits do too.
 
 Word counts are kept by 64-bit hash. Words above a count that at most ``frequent`` words
 reach are broadcast (16 bytes each); the others' counts meet the documents' rare words in a
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ FLUSH = 1 << 21
 SLAB = 1 << 15  # tokens of a step
 HELD = 1 << 12  # times ``steps``: so many tokens a trainer holds to go over them again
 PIECE = 1 << 14
+PARTS = 64  # groups of trainers whose changes are averaged first
 
 #: Kind of a word's last byte: letter, full stop, comma and the like, exclamation, digit, other.
 _LAST = np.full(256, 5, dtype=np.int64)
@@ -132,7 +135,7 @@ class Vocabulary:
         one[first] = 0
         two[first] = 0
         two[(first + 1)[first < ends]] = 0
-        return h, row, ok, c, seq, one, two, of
+        return h, row, ok, c, number, seq, one, two, of
 
 
 class LogBilinear:
@@ -142,7 +145,7 @@ class LogBilinear:
     root of the share, so that frequent words have small classes and none has over about 2 sqrt(k).
     """
 
-    def __init__(self, unigram: np.ndarray, dim: int = 24, seed: int = 3):
+    def __init__(self, unigram: np.ndarray, dim: int = 16, seed: int = 3):
         rng = np.random.default_rng(seed)
         k = len(unigram)
         order = np.argsort(-unigram, kind="stable")
@@ -181,7 +184,7 @@ class LogBilinear:
     def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.r[one] * self.c[0] + self.r[two] * self.c[1]
 
-    def train(self, code: np.ndarray, n: np.ndarray, *, steps: int, noise: int = 64, batch: int = 4096, rate: float = 0.1, seed: int = 0) -> None:
+    def train(self, code: np.ndarray, n: np.ndarray, *, steps: int, noise: int = 24, batch: int = 4096, rate: float = 0.1, seed: int = 0) -> None:
         """Steps on triples drawn by their counts."""
         rng = np.random.default_rng(seed)
         k, cum = len(self.unigram), np.cumsum(n / n.sum())
@@ -189,7 +192,7 @@ class LogBilinear:
             x = code[np.minimum(np.searchsorted(cum, rng.random(batch)), len(code) - 1)]
             self.step(x // k % k, x // k // k, x % k, rng, noise=noise, rate=rate)
 
-    def step(self, one: np.ndarray, two: np.ndarray, w: np.ndarray, rng: np.random.Generator, *, noise: int = 64, rate: float = 0.1) -> None:
+    def step(self, one: np.ndarray, two: np.ndarray, w: np.ndarray, rng: np.random.Generator, *, noise: int = 24, rate: float = 0.1) -> None:
         """One noise-contrastive Adagrad step on these triples, for the class and for the word inside its class."""
         w = self.place[w]
         order = np.argsort(w, kind="stable")
@@ -297,7 +300,7 @@ def _steps(shared, net, params, steps: int, seed: int):
         wait, ready, held, total, done = [], 0, [], 0, 0
         for batch in batches:
             for _, _, data, off in textcore.blocks(batch.column(0)):
-                _, _, _, _, seq, one, two, _ = v.sequence(data, off)
+                _, _, _, _, _, seq, one, two, _ = v.sequence(data, off)
                 wait.append(np.stack([one, two, seq]))
                 ready += len(seq)
                 total += len(seq)
@@ -314,12 +317,11 @@ def _steps(shared, net, params, steps: int, seed: int):
             one, two, seq = np.concatenate(held, axis=1).astype(np.int64)
             m.train((two * v.size + one) * v.size + seq, np.ones(len(seq)), steps=steps - done, seed=seed)
         if total:
-            # what the pass has changed, to three digits: half of what would be shuffled
-            flat = np.clip(m.pack() - params.value, -60_000, 60_000).astype(np.float16)
+            flat, part = m.pack() - params.value, TaskContext.get().partitionId() if TaskContext.get() else 0
             for i in range(0, len(flat), PIECE):
-                yield pa.RecordBatch.from_arrays([pa.array([i // PIECE]), pa.array([flat[i : i + PIECE].tobytes()]), pa.array([total])], names=["piece", "params", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([i // PIECE]), pa.array([part % PARTS], pa.int32()), pa.array([flat[i : i + PIECE].tobytes()]), pa.array([total])], names=["piece", "part", "params", "n"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def _passed(net: LogBilinear, triples: np.ndarray, rng: np.random.Generator) -> int:
@@ -330,16 +332,19 @@ def _passed(net: LogBilinear, triples: np.ndarray, rng: np.random.Generator) ->
 
 
 def _average(frame: pd.DataFrame) -> pd.DataFrame:
+    """Mean of a piece's changes, weighted by the tokens behind them."""
     frame = frame.sort_values(["n", "params"])
     n = frame["n"].to_numpy(dtype=float)
-    mean = (np.stack([np.frombuffer(p, dtype=np.float16) for p in frame["params"]]) * (n / n.sum())[:, None]).sum(axis=0)
-    return pd.DataFrame({"piece": frame["piece"].iloc[:1], "params": [mean.astype(np.float32).tobytes()]})
+    mean = np.zeros(len(frame["params"].iloc[0]) // 4)
+    for p, w in zip(frame["params"], n / n.sum(), strict=True):
+        mean += np.frombuffer(p, dtype=np.float32) * w
+    return pd.DataFrame({"piece": frame["piece"].iloc[:1], "params": [mean.astype(np.float32).tobytes()], "n": [int(n.sum())]})
 
 
-def fit(train: DataFrame, *, frequent: int = 1 << 17, trainers: int = 8, rounds: int = 3, steps: int = 150) -> tuple[Model, DataFrame]:
+def fit(train: DataFrame, *, frequent: int = 1 << 17, vocabulary: int = 1 << 14, trainers: int = 8, slice_tokens: int = 1 << 24, rounds: int = 3, steps: int = 150) -> tuple[Model, DataFrame]:
     """The model and the table (word, n) of all counts, from the texts of ``train``."""
     spark = train.sparkSession
-    counts = materialize(train.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = materialize(train.select("text").mapInArrow(textcore.tidy(_count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # the least power-of-1.1 count that few enough words reach
     level = F.floor(F.log("n") / np.log(1.1))
@@ -355,32 +360,38 @@ def fit(train: DataFrame, *, frequent: int = 1 << 17, trainers: int = 8, rounds:
     # the end's count is looked up by itself: it may lie below the cut of the frequent words
     ends = int(counts.filter(F.col("word") == END_HASH).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     h, n = h[keep].view(np.uint64), n[keep]
-    first = 1 + CLASSES
-    size = first + len(h)
-    v = Vocabulary(h, n, np.arange(first, size), ends, int(total["n"]), int(total["v"]), size)
+    # the words of the vocabulary come first in the order of counts; the others bear their shape's number
+    first, some = 1 + CLASSES, min(len(h), vocabulary)
+    size = first + some
+    shape = 1 + (h & np.uint64(63)).astype(np.int64)
+    v = Vocabulary(h, n, np.concatenate([np.arange(first, size), shape[some:]]), ends, int(total["n"]), int(total["v"]), size)
     # shares of the model's vocabulary: an unseen word of each shape counts as half a token
     mass = np.zeros(size)
     mass[0] = ends + 0.5
     for r in counts.filter(F.col("word") != END_HASH).groupBy(F.col("word").bitwiseAND(F.lit(63)).alias("shape")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         mass[1 + r["shape"]] = r["n"] + 0.5 * r["v"]
-    np.subtract.at(mass, 1 + (h & np.uint64(63)).astype(np.int64), n + 0.5)
-    mass[1 : 1 + CLASSES] += 0.5
-    mass[first:] = n + 0.5
-    other = mass[1 : 1 + CLASSES].copy()
+    np.subtract.at(mass, shape[:some], n[:some] + 0.5)
+    mass[1:first] += 0.5
+    mass[first:] = n[:some] + 0.5
+    other = mass[1:first].copy()
     mass = np.maximum(mass, 1e-9)
     net = LogBilinear(mass / mass.sum())
     if v.tokens:
-        shared = spark.sparkContext.broadcast(v)
-        start = spark.sparkContext.broadcast(net)
+        shared, start = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(net)
+        tasks = max(trainers, math.ceil(v.tokens / rounds / slice_tokens))
         for i in range(rounds):
             # each text is in one round, and all its tokens in one pass of one task
-            mine = train.select("text").filter(F.pmod(F.xxhash64("text", F.length("text")), F.lit(rounds)) == i).coalesce(trainers)
+            mine = train.select("text").filter(F.pmod(F.xxhash64("text", F.length("text")), F.lit(rounds)) == i).coalesce(tasks)
             params = spark.sparkContext.broadcast(net.pack())
-            pieces = mine.mapInArrow(_steps(shared, start, params, steps, i), "piece long, params binary, n long")
-            got = sorted(pieces.groupBy("piece").applyInPandas(_average, "piece long, params binary").collect())
+            pieces = mine.mapInArrow(_steps(shared, start, params, steps, i), "piece long, part int, params binary, n long")
+            for level in (("piece", "part"), ("piece",)):
+                pieces = pieces.groupBy(*level).applyInPandas(_average, "piece long, params binary, n long")
+            got = sorted(pieces.select("piece", "params").collect())
             if got:
                 net.load(net.pack() + np.frombuffer(b"".join(r["params"] for r in got), dtype=np.float32))
-            params.unpersist()
+            params.destroy()
+        shared.destroy()
+        start.destroy()
     return Model(v, net, other), counts
 
 
@@ -395,13 +406,15 @@ def _score(shared):
             ids, keys = batch.column(0), batch.column(2)
             for i, j, data, off in textcore.blocks(batch.column(1)):
                 n = j - i
-                h, row, ok, c, seq, one, two, of = v.sequence(data, off)
+                h, row, ok, c, number, seq, one, two, of = v.sequence(data, off)
                 model = np.bincount(of, weights=m.net.log10(one, two, seq), minlength=n)
                 log = np.log10(c + 0.5)
                 base = np.bincount(row[ok], weights=log[ok], minlength=n) + ends
-                # a rare word has its share of the mass of its shape
+                # a word outside the vocabulary has its share of the mass of its shape
                 others = (seq > 0) & (seq <= CLASSES)
                 model -= np.bincount(of[others], weights=np.log10(m.other)[seq[others] - 1], minlength=n)
+                counted = ok & (number <= CLASSES)
+                model += np.bincount(row[counted], weights=log[counted], minlength=n)
                 words = np.bincount(row, minlength=n)
                 known = np.bincount(row[ok], minlength=n) + (1 if v.tokens else 0)
                 rare = ~ok
@@ -413,7 +426,7 @@ def _score(shared):
                 lists = [pa.ListArray.from_arrays(pa.array(rb.astype(np.int32)), pa.array(x)) for x in (rh[first].view(np.int64), times.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, n), keys.slice(i, n), pa.array(words.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model), *lists], names=["doc_id", "key", "n_tokens", "known", "base", "model", "rare", "times"])
 
-    return run
+    return textcore.tidy(run)
 
 
 SCORED = "doc_id long, key long, n_tokens long, known long, base double, model double, rare array<long>, times array<int>"

@@ -187,7 +187,7 @@ def test_every_token_is_trained_on(monkeypatch):
     monkeypatch.setattr(net, "step", lambda one, two, w, rng, **_: seen.append(len(w)))
     texts = pa.array(["a bc " * 50_000, None, "d" + " e" * 130_000])
     out = list(lm._steps(Held(v), Held(net), Held(net.pack()), 1, 0)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])))
-    assert sum(seen) == 100_000 + 130_001 + 3 and {n for b in out for n in b.column(2).to_pylist()} == {sum(seen)}
+    assert sum(seen) == 100_000 + 130_001 + 3 and {n for b in out for n in b.column("n").to_pylist()} == {sum(seen)}
 
 
 def test_probabilities_are_normalised():

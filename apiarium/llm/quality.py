@@ -1,20 +1,22 @@
 """Quality classification: random-indexing word vectors and a two-layer network.
 
 Every word has a sparse random index vector (by hash). The vector of a word bucket is the sum
-of the index vectors of its neighbours and of its shape, over all rows given; a document is
-the mean and the spread of its words' vectors with a few counts of shapes and repetition. A
-two-layer numpy network is trained on labelled documents, its probabilities are calibrated by
-a temperature fitted on a part of them that training does not see.
+of the index vectors of its neighbours and of its shape, over all rows given, normalised, with
+its length (on a log scale, so how much the corpus knows of it) as one more number. A document
+is the mean and the spread of its words' vectors and the mean product of neighbouring ones,
+nothing else. A two-layer numpy network is trained on labelled documents, its probabilities
+are calibrated by a temperature fitted on a part of them that training does not see.
 
 Vectors come from all documents: each task adds up a BUCKETS x DIM table, tables are summed by
-row in a shuffle (never on one task), and the finished table (BUCKETS * DIM * 4 bytes, fixed)
-is broadcast. Labelled rows are bounded by ``max_labelled`` (in expectation, a few per cent
-more at most), chosen by a hash of doc_id.
+row in a shuffle (never on one task), and the finished table (BUCKETS * (DIM + 1) * 4 bytes,
+fixed) is broadcast. Labelled rows are bounded by ``max_labelled`` (in expectation, a few per
+cent more at most), chosen by a hash of doc_id.
 
 Defined cases: null text is an empty text; an empty text has the zero vector and gets the
 score that the network gives it; a doc_id without label trains nothing; repeated labels of a
 doc_id count once, the larger one; without labels of both classes every score is the share
-of label 1 (0.5 without labels); other columns are ignored.
+of label 1 (0.5 without labels); rows that repeat a doc_id are rows of their own; an empty
+table gives an empty result; other columns are ignored, and passed through by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 
 from apiarium.llm import common, textcore
 
-BUCKETS, DIM, ONES = 1 << 13, 32, 4
-EXTRA = 8
-FEATURES = 2 * DIM + EXTRA
+BITS, DIM, ONES = 14, 32, 4
+BUCKETS, WIDTH = 1 << BITS, DIM + 1
+FEATURES = 3 * WIDTH
 
 #: Byte classes for a word's shape: letters (with all non-ASCII), capitals, digits, other.
 _CLASS = np.full(256, 3, dtype=np.uint8)
@@ -50,7 +52,7 @@ def _tokens(data: np.ndarray, off: np.ndarray):
             sums = np.concatenate([[0], np.cumsum(kind == c, dtype=np.int32)])
             n = sums[e] - sums[s]
             shape |= (np.minimum(n, 3) << (2 * c)).astype(np.int64)
-    return (h >> np.uint64(64 - 13)).astype(np.int64), shape, row, h
+    return (h >> np.uint64(64 - BITS)).astype(np.int64), shape, row, h
 
 
 def _index_places(x: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +68,11 @@ def accumulate(table: np.ndarray, data: np.ndarray, off: np.ndarray) -> None:
         return
     same = row[1:] == row[:-1]
     sources = [(bucket, shape.astype(np.uint64) + np.uint64(1 << 40)), (bucket[1:][same], h[:-1][same]), (bucket[:-1][same], h[1:][same])]
-    for own, other in sources:
-        for j in range(ONES):
-            place, sign = _index_places(other, j)
-            table += np.bincount(own * DIM + place, weights=sign, minlength=BUCKETS * DIM)
+    own = np.concatenate([x for x, _ in sources])
+    other = np.concatenate([x for _, x in sources])
+    for j in range(ONES):
+        place, sign = _index_places(other, j)
+        table += np.bincount(own * DIM + place, weights=sign, minlength=BUCKETS * DIM)
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,49 +82,43 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             accumulate(table, data, off)
     rows = table.reshape(BUCKETS, DIM)
     some = np.flatnonzero(rows.any(axis=1))
-    flat = pa.array(rows[some].ravel())
+    flat = pa.array(rows[some].ravel().astype(np.float32))
     ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * DIM)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.ListArray.from_arrays(ends, flat)], names=["bucket", "v"])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The normalised BUCKETS x DIM table over all rows."""
-    parts = docs.select("text").mapInArrow(textcore.tidy(_tables), "bucket long, v array<double>")
+    """The normalised BUCKETS x DIM table over all rows, with a column of lengths."""
+    parts = docs.select("text").mapInArrow(textcore.tidy(_tables), "bucket long, v array<float>")
     sums = [F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(DIM)]
     table = np.zeros((BUCKETS, DIM), dtype=np.float32)
     for r in parts.groupBy("bucket").agg(*sums).toLocalIterator():
         table[r[0]] = r[1:]
-    return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    length = np.linalg.norm(table, axis=1, keepdims=True)
+    return np.column_stack([table / np.maximum(length, 1e-9), np.log1p(length) / 10]).astype(np.float32)
 
 
 def features(table: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Pooled vectors and counts of each row."""
+    """The pooled vectors of each row."""
     n = len(off) - 1
-    bucket, shape, row, h = _tokens(data, off)
-    out = np.zeros((n, FEATURES), dtype=np.float32)
+    bucket, _, row, _ = _tokens(data, off)
+    out = np.zeros((n, FEATURES))
     bounds = textcore.row_bounds(row, n)
-    for i in range(n):
-        a, b = bounds[i], bounds[i + 1]
-        if a == b:
+    for a in range(0, n, 64):
+        rows = np.arange(a, min(a + 64, n))
+        rows = rows[bounds[rows + 1] > bounds[rows]]
+        if not len(rows):
             continue
-        c = np.bincount(bucket[a:b], minlength=BUCKETS)
-        at = np.flatnonzero(c)
-        w = (c[at] / (b - a)).astype(np.float32)
-        v = table[at]
-        mean = w @ v
-        out[i, :DIM] = mean
-        out[i, DIM : 2 * DIM] = np.sqrt(np.maximum(w @ (v * v) - mean * mean, 0))
-        s, words = shape[a:b], b - a
-        out[i, 2 * DIM :] = [
-            np.log1p(words) / 10,
-            len(at) / min(words, BUCKETS),
-            ((s >> 6) > 1).mean(),  # several other signs
-            ((s & 3) == 0).mean(),  # no letter
-            (((s >> 2) & 3) > 1).mean(),  # capitals
-            (((s >> 4) & 3) > 0).mean(),  # digits
-            (h[a + 1 : b] == h[a : b - 1]).mean() if words > 1 else 0,
-            1.0,
-        ]
+        lo, hi = bounds[rows[0]], bounds[rows[-1] + 1]
+        v = table[bucket[lo:hi]]
+        start, words = bounds[rows] - lo, (bounds[rows + 1] - bounds[rows])[:, None]
+        mean = np.add.reduceat(v, start, axis=0, dtype=np.float64) / words
+        square = np.add.reduceat(v * v, start, axis=0, dtype=np.float64) / words
+        pairs = np.zeros_like(v)
+        pairs[:-1] = v[1:] * v[:-1]
+        pairs[np.append(start[1:], len(v)) - 1] = 0  # a row's last word has no neighbour after it
+        near = np.add.reduceat(pairs, start, axis=0, dtype=np.float64) / np.maximum(words - 1, 1)
+        out[rows] = np.column_stack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), near])
     return out
 
 
@@ -200,10 +197,10 @@ def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "quality", max_lab
     shared = docs.sparkSession.sparkContext.broadcast(table)
     # the sample is bounded by max_labelled, so it goes to the texts, which stay where they are
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").select(F.col("label").cast("double"), "text")
-    got = rows.mapInArrow(_features(shared), "label double, x array<float>").toArrow()
+    got = rows.mapInArrow(_features(shared), "label double, x array<double>").toArrow()
     shared.destroy()
     y = got["label"].to_numpy()
-    x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64) if len(y) else np.zeros((0, FEATURES))
+    x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if len(y) else np.zeros((0, FEATURES))
     order = np.lexsort((*x.T[:8], y)) if len(y) else np.zeros(0, np.int64)  # the same rows in the same order, however they came
     return Model(table, Network(seed=seed).fit(x[order], y[order]))
 
@@ -213,7 +210,7 @@ def _score(shared):
         model = shared.value
         for batch in batches:
             for i, j, data, off in textcore.blocks(batch.column(1)):
-                p = model.net.probability(features(model.table, data, off).astype(np.float64))
+                p = model.net.probability(features(model.table, data, off))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p)], names=["doc_id", "score"])
 
     return textcore.tidy(run)
@@ -233,7 +230,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
         for batch in batches:
             at = batch.schema.get_field_index("text")
             for i, j, data, off in textcore.blocks(batch.column(at)):
-                p = shared.value.net.probability(features(shared.value.table, data, off).astype(np.float64))
+                p = shared.value.net.probability(features(shared.value.table, data, off))
                 yield batch.slice(i, j - i).filter(pa.array(p >= threshold))
 
     return docs.select(*common.columns(docs)).mapInArrow(textcore.tidy(run), docs.schema)

@@ -11,8 +11,10 @@ savings of a document's windows (largest ones, how many pass each threshold) giv
 through a logistic calibration on labelled rows that its dictionaries have not seen; the
 dictionaries of the finished model then come from all rows of the sample.
 
-A word is toxic text if toxic documents have it, each counted once and copies of a passage
-together, and, for the size of either class, ordinary ones hardly do. Beginnings of
+A word is toxic text if toxic documents have it, each counted once, and, for the size of
+either class, ordinary ones hardly do. Counted are the different words before or after the
+first place, whichever are more: that keeps out what is frequent by copies or within one
+document, and keeps both words of a fixed phrase. Beginnings of
 words are judged alike, by all words that have them, and bring those words along. Both dictionaries place common words
 at the same distance, so that they differ by the toxic words alone.
 
@@ -142,11 +144,7 @@ class Compressors:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, place, label): each word of a document, once, with a hash of what stands around its first place.
-
-    That is the second and third word on either side, so that a fixed phrase has as many
-    places as texts, and copies of one text have one.
-    """
+    """(word, side, next, label): each word of a document, once, with the words before and after its first place (0 at a border)."""
     for batch in batches:
         label = np.asarray(batch.column(0))
         for i, _, data, off in textcore.blocks(batch.column(1)):
@@ -155,16 +153,16 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             h = textcore.span_hashes(data, s, e)
             _, one = np.unique(textcore.mix(h + row.astype(np.uint64)), return_index=True)
-            around = h[one].copy()
-            for j in (-3, -2, 2, 3):
-                at = one + j
+            beside = []
+            for at in (one - 1, one + 1):
                 inside = (at >= 0) & (at < len(h))
                 inside[inside] = row[at[inside]] == row[one[inside]]
-                around = textcore.mix(around + np.where(inside, h[np.where(inside, at, 0)], np.uint64(0)))
-            kind = label[i + row[one]]
+                beside.append(np.where(inside, h[np.where(inside, at, 0)], np.uint64(0)).view(np.int64))
+            kind = label[i + row[one]].astype(np.int32)
             text = FOLD[data].tobytes()
             names = pa.array([text[a:b].decode("utf-8", "replace") for a, b in zip(s[one], e[one], strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([names, pa.array(around.view(np.int64)), pa.array(kind.astype(np.int32))], names=["word", "place", "label"])
+            for side in (0, 1):
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(one), side, np.int32)), pa.array(beside[side]), pa.array(kind)], names=["word", "side", "next", "label"])
 
 
 class Model:
@@ -209,8 +207,9 @@ def _features(shared):
 
 def learn(rows: DataFrame, *, common: int, near: int, specific: int) -> Compressors:
     """The two dictionaries from (label, text) rows."""
-    pairs = rows.select("label", "text").mapInArrow(textcore.tidy(_words), "word string, place long, label int").distinct()
-    pairs = materialize(pairs.groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")), "words")
+    pairs = rows.select("label", "text").mapInArrow(textcore.tidy(_words), "word string, side int, next long, label int").distinct()
+    sides = pairs.groupBy("word", "side").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o"))
+    pairs = materialize(sides.groupBy("word").agg(F.max("t").alias("t"), F.max("o").alias("o")), "words")
     total = pairs.agg(F.sum("t"), F.sum("o")).first()
     odds = F.log((F.col("t") + 0.5) / (total[0] or 1)) - F.log((F.col("o") + 0.5) / (total[1] or 1))
     # so many that chance makes a word of either class appear in toxic documents alone once in 60,000 words

@@ -36,8 +36,12 @@ def start_tags(s: Column) -> Column:
 
 
 def attribute(area: Column, name: str) -> Column:
-    """Value of a double-quoted attribute, '' if absent; names are case-sensitive."""
-    return F.regexp_extract(area, rf'(?:^|\s){name}\s*=\s*"([^"]*)"', 1)
+    """Value of a double-quoted attribute, '' if absent; names are case-sensitive.
+
+    Attributes are read from the left; the first that is not double-quoted ends the reading.
+    """
+    before = rf'(?:(?!{name}\s*=)[^\s=]+\s*=\s*"[^"]*"\s*)*'
+    return F.regexp_extract(area, rf'^\s*{before}{name}\s*=\s*"([^"]*)"', 1)
 
 
 def attributes(s: Column, name: str) -> Column:

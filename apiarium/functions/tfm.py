@@ -40,15 +40,25 @@ def parsed(tfm: Column) -> Column:
     return F.struct(tfm.alias("raw"), family(tfm).alias("family"), version(tfm).alias("version"), platform(tfm).alias("platform"), rank(tfm).alias("rank"))
 
 
+#: A platform's label with the older framework name that stands for it.
+PLATFORMS = {"android": "monoandroid", "ios": "xamarinios", "maccatalyst": "xamarinmac", "windows": "uap"}
+
+
 def platform_label(tfm: Column) -> Column:
-    """android, ios, maccatalyst or windows, by the platform's beginning; null otherwise."""
-    p = F.lower(platform(tfm))
-    out = F.lit(None).cast("string")
-    for name in ("windows", "maccatalyst", "ios", "android"):
-        out = F.when(p.startswith(name), F.lit(name)).otherwise(out)
+    """android, ios, maccatalyst or windows: ``-label`` anywhere, or the older name in front; case is ignored, null otherwise."""
+    low, out = F.lower(tfm), F.lit(None).cast("string")
+    for label, older in reversed(PLATFORMS.items()):
+        out = F.when(low.contains(f"-{label}") | low.startswith(older), F.lit(label)).otherwise(out)
     return out
 
 
+def metadata_entries(tfms: Column) -> Column:
+    """The frameworks of a library with their labels, and the distinct labels in order."""
+    entries = F.transform(tfms, lambda t: F.struct(t.alias("tfm"), platform_label(t).alias("platform")))
+    labels = F.filter(F.transform(entries, lambda e: e["platform"]), lambda p: p.isNotNull())
+    return F.struct(entries.alias("entries"), F.array_sort(F.array_distinct(labels)).alias("platforms"))
+
+
 def is_netstandard(tfm: Column) -> Column:
     return F.lower(tfm).startswith("netstandard")
 

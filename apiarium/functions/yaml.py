@@ -32,13 +32,14 @@ def quoted(s: Column) -> Column:
     out = F.regexp_replace(s, r'(["\\])', r"\\$1")
     for raw, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(raw), F.lit(name))
-    for code in [*range(9), 11, 12, *range(14, 32)]:
-        out = F.replace(out, F.lit(chr(code)), F.lit(f"\\x{code:02X}"))
+    # control characters are rare, and only texts that have some are taken apart
+    coded = F.transform(F.split(out, ""), lambda c: F.when(c.rlike("[\\x00-\\x1f]"), F.concat(F.lit("\\x"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c))
+    out = F.when(out.rlike("[\\x00-\\x1f]"), F.array_join(coded, "")).otherwise(out)
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
 def scalar(s: Column) -> Column:
-    return F.when(needs_quoting(s), quoted(s)).otherwise(s)
+    return F.when(s == "", F.lit("''")).when(needs_quoting(s), quoted(s)).otherwise(s)
 
 
 def qualified_scalar(left: Column, sep: str, right: Column) -> Column:

@@ -28,15 +28,16 @@ def reach(edges: DataFrame, *, max_depth: int, roots: DataFrame | None = None) -
     return known
 
 
-def inherit_nearest(nodes: DataFrame, *, node: str, parent: str, value: Column, max_depth: int = 64) -> DataFrame:
+def inherit_nearest(nodes: DataFrame, *, node: str, parent: str, value: Column) -> DataFrame:
     """node, value, source: its own value or that of its nearest ancestor that has one (null if none).
 
     Pointer jumping: an undecided node looks at its pointer and takes its answer or its
-    pointer, so a chain of n takes log n rounds; a cycle never decides and stays null.
+    pointer, so a chain of n takes log n rounds, as many as any chain of the nodes can need; a
+    cycle never decides and stays null.
     """
     state = nodes.select(F.col(node).alias("id"), value.alias("value"), F.when(value.isNotNull(), F.col(node)).alias("source"), F.when(F.col(parent) != F.col(node), F.col(parent)).alias("ptr"))
     state = materialize(state, "inherit")
-    for _ in range(max_depth.bit_length() + 1):
+    for _ in range(state.count().bit_length() + 1):
         up = state.select(F.col("id").alias("ptr"), F.col("value").alias("v2"), F.col("source").alias("s2"), F.col("ptr").alias("p2"))
         done = F.col("source").isNotNull()
         state = state.join(up, "ptr", "left").select("id", F.coalesce("value", "v2").alias("value"), F.coalesce("source", "s2").alias("source"), F.when(~done & F.col("s2").isNull(), F.col("p2")).alias("ptr"))

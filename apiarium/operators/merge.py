@@ -12,14 +12,18 @@ def merge_variants(rows: DataFrame, *, uid: str, tag: str, rank: Column, order:
     Variants are ordered by rank, then by ``order``. ``applies_to`` keeps duplicates. The url is
     the canonical variant's unless that is null, then the first non-empty one; '' of the canonical
     variant is kept. Rows with an empty uid are dropped.
-    One shuffle, on the uid; a group is as large as the number of frameworks.
+    One shuffle, on the uid. Only the canonical payload leaves a task (the least by order is kept
+    map-side); what is collected of each variant is its place, tag and url.
     """
-    fields = [(-rank).alias("_rank"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(tag).alias("_tag")]
-    fields += [F.col(url).alias("_url")] if url else []
-    fields += [F.col(c) for c in payload]
-    v = rows.filter(F.col(uid) != "").groupBy(F.col(uid).alias("uid")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("v"))
+    place = [(-rank).alias("_rank"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(tag).alias("_tag")]
+    place += [F.col(url).alias("_url")] if url else []
+    kept = [F.array_sort(F.collect_list(F.struct(*place))).alias("v")]
+    if payload:  # rows equal in all that orders them are told apart by their payload
+        whole = F.struct(*[F.col(c) for c in payload])
+        kept.append(F.min_by(whole, F.struct(*place, F.xxhash64(*payload).alias("_hash"))).alias("p"))
+    v = rows.filter(F.col(uid) != "").groupBy(F.col(uid).alias("uid")).agg(*kept)
     first = F.get("v", F.lit(0))
-    out = [F.col("uid"), first["_tag"].alias("canonical_tag"), *[first[c].alias(c) for c in payload], F.transform("v", lambda x: x["_tag"]).alias("applies_to")]
+    out = [F.col("uid"), first["_tag"].alias("canonical_tag"), *[F.col("p")[c].alias(c) for c in payload], F.transform("v", lambda x: x["_tag"]).alias("applies_to")]
     if url:
         other = F.get(F.filter("v", lambda x: x["_url"] != ""), F.lit(0))["_url"]
         out.append(F.coalesce(first["_url"], other).alias("source_url"))
@@ -51,10 +55,12 @@ def fold_subsets(groups: DataFrame, *, key: str, members: str, rank: str) -> Dat
     rarest = each.join(seen, "x").groupBy("k").agg(F.min_by("x", F.struct("n", "x")).alias("x"))
     # equal sets are one candidate, named by its first group
     best = g.groupBy("m").agg(F.min(F.struct((-F.col("r")).alias("r"), F.col("k").alias("k"))).alias("first"))
-    holds = best.select(F.explode("m").alias("x"), F.col("m").alias("big"), "first")
-    found = g.join(rarest, "k").join(holds, "x").filter(F.size(F.array_except("m", "big")) == 0)
     own = F.struct((-F.col("r")).alias("r"), F.col("k").alias("k"))
-    chosen = found.filter(F.col("first") <= own).groupBy("k").agg(F.min("first")["k"].alias("canonical"))
+    # candidates are names only; whole sets are fetched for those in the right order
+    holds = best.select(F.explode("m").alias("x"), "first")
+    pairs = g.select("k", own.alias("own")).join(rarest, "k").join(holds, "x").filter(F.col("first") <= F.col("own")).select("k", "first")
+    found = pairs.join(g.select("k", "m"), "k").join(best.select("first", F.col("m").alias("big")), "first")
+    chosen = found.filter(F.size(F.array_except("m", "big")) == 0).groupBy("k").agg(F.min("first")["k"].alias("canonical"))
     empty = g.filter(F.size("m") == 0).select("k").crossJoin(F.broadcast(g.agg(F.min(own)["k"].alias("canonical"))))
     return chosen.unionByName(empty).select(F.col("k").alias(key), "canonical")
 

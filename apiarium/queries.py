@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apiarium.functions import markup, text, tfm, uid, url, yaml
-from apiarium.operators import closure, filters, flatten, indexes, merge, select
+from apiarium.operators import closure, filters, flatten, indexes, inherit, merge, select
+from apiarium.plans import catalog_api, pages, sections
+from apiarium.scratch import materialize
 from apiarium.shipping import ship
+from apiarium.sources import schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -460,12 +463,13 @@ def best_reference(spark, sf_dir):
 
 
 @query("""
-    WITH a AS (SELECT p_brand, p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'net8.0' WHEN 'SMALL' THEN 'netstandard2.0' ELSE 'net472' END AS t FROM part WHERE p_partkey % 7 < 3 OR p_type = 'SMALL'),
-         m AS (SELECT *, starts_with(t, 'net8') AS hit FROM a WHERE p_brand <> 'Brand#1' OR t <> 'net8.0')
+    WITH a AS (SELECT p_brand, p_partkey, CASE WHEN p_type = 'ECONOMY' AND p_brand <> 'Brand#1' THEN 'net8.0' WHEN p_type = 'SMALL' THEN 'netstandard2.0' ELSE 'net472' END AS t FROM part),
+         m AS (SELECT *, starts_with(t, 'net8') AS hit FROM a)
     SELECT p_brand, p_partkey, t FROM (SELECT *, bool_or(hit) OVER (PARTITION BY p_brand) AS has_hit FROM m) WHERE hit OR (NOT has_hit AND starts_with(t, 'netstandard'))""")
 def supported_tfms(spark, sf_dir):
-    t = F.when(F.col("p_type") == "ECONOMY", "net8.0").when(F.col("p_type") == "SMALL", "netstandard2.0").otherwise("net472")
-    p = _t(spark, sf_dir, "part").filter("p_partkey % 7 < 3 or p_type = 'SMALL'").select("p_brand", "p_partkey", t.alias("t")).filter("p_brand <> 'Brand#1' or t <> 'net8.0'")
+    # one brand has no framework that is preferred
+    t = F.when((F.col("p_type") == "ECONOMY") & (F.col("p_brand") != "Brand#1"), "net8.0").when(F.col("p_type") == "SMALL", "netstandard2.0").otherwise("net472")
+    p = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", t.alias("t"))
     return select.all_supported(p, group=["p_brand"], available=F.col("t"), preferences=["net8"])
 
 
@@ -540,3 +544,219 @@ def modifier_words(spark, sf_dir):
     SELECT doc_id, '|-' || chr(10) || '  ' || replace(b, chr(10), chr(10) || '  ') AS block FROM x""")
 def yaml_block(spark, sf_dir):
     return _t(spark, sf_dir, "documents").filter(F.instr("text", "\n") > 0).select("doc_id", yaml.block_scalar(F.col("text"), 2).alias("block"))
+
+
+_RAW = """CASE p_partkey % 9 WHEN 0 THEN 'net' || p_size || '.0-Android' || p_size WHEN 1 THEN 'MonoAndroid' || p_size WHEN 2 THEN 'net8.0-ios' || p_size WHEN 3 THEN 'xamarinios' || p_size
+    WHEN 4 THEN 'net9.0-MacCatalyst' WHEN 5 THEN 'xamarinmac' || p_size WHEN 6 THEN 'net' || p_size || '.0-windows10' WHEN 7 THEN 'UAP' || p_size ELSE 'net' || p_size || '.0' END"""
+
+
+@query(f"""SELECT p_partkey, t AS raw, CASE WHEN lower(t) LIKE '%-android%' OR lower(t) LIKE 'monoandroid%' THEN 'android' WHEN lower(t) LIKE '%-ios%' OR lower(t) LIKE 'xamarinios%' THEN 'ios'
+    WHEN lower(t) LIKE '%-maccatalyst%' OR lower(t) LIKE 'xamarinmac%' THEN 'maccatalyst' WHEN lower(t) LIKE '%-windows%' OR lower(t) LIKE 'uap%' THEN 'windows' END AS label FROM (SELECT p_partkey, {_RAW} AS t FROM part)""")
+def platform_labels(spark, sf_dir):
+    """Platform label of every framework name that the parts spell."""
+    return _t(spark, sf_dir, "part").select("p_partkey", F.expr(_RAW).alias("raw")).withColumn("label", tfm.platform_label(F.col("raw")))
+
+
+@query(f"""SELECT p_brand, count(*) AS entries, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS platforms FROM (SELECT p_brand, CASE WHEN lower(t) LIKE '%android%' THEN 'android'
+    WHEN lower(t) LIKE '%ios%' THEN 'ios' WHEN lower(t) LIKE '%mac%' THEN 'maccatalyst' WHEN lower(t) LIKE '%windows%' OR lower(t) LIKE 'uap%' THEN 'windows' END AS label FROM (SELECT p_brand, {_RAW} AS t FROM part)) GROUP BY p_brand""")
+def config_entries(spark, sf_dir):
+    """Metadata entries and ordered platforms of each brand's frameworks."""
+    g = _t(spark, sf_dir, "part").select("p_brand", F.expr(_RAW).alias("t")).groupBy("p_brand").agg(F.collect_list("t").alias("ts"))
+    e = tfm.metadata_entries(F.col("ts"))
+    return g.select("p_brand", F.size(e["entries"]).cast("long").alias("entries"), _joined(e["platforms"]).alias("platforms"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'guide/' || o_orderkey || '.md;' ELSE '' END || 'api/x.yml;api-' || lower(o_orderstatus) || '/**.yml|api-' || lower(o_orderstatus) || '/index.md' AS content FROM orders""")
+def config_content(spark, sf_dir):
+    """Build content with the entries of earlier platforms removed and one for the order's status."""
+    o = _t(spark, sf_dir, "orders")
+    old = F.array(F.lit("api-old/**.yml"), F.lit("api-old/index.md"))
+    guide = F.array(F.concat(F.lit("guide/"), F.col("o_orderkey").cast("string"), F.lit(".md")))
+    content = F.array(F.when(F.col("o_orderkey") % 3 == 0, guide).otherwise(old), F.array(F.lit("api/x.yml")))
+    patched = sections.patched_content(content, F.array(F.lower("o_orderstatus")))
+    return o.select("o_orderkey", F.array_join(F.transform(patched, lambda f: F.array_join(f, "|")), ";").alias("content"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 'status' ELSE 'priority,status' END AS keys FROM orders")
+def shared_extras(spark, sf_dir):
+    """Keys that a metadata entry shares: all but its references; null where nothing is left."""
+    o = _t(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 4
+    names = F.when(k == 0, F.array(F.lit("references"))).when(k == 1, F.array(F.lit("status"), F.lit("references"))).otherwise(F.array(F.lit("status"), F.lit("priority")))
+    extra = F.map_from_arrays(names, F.transform(names, lambda n: n))
+    return o.select("o_orderkey", _joined(F.array_sort(F.map_keys(sections.shared_extras(extra)))).alias("keys"))
+
+
+_KIND = "CASE o_orderkey % 6 WHEN 0 THEN 'Method' WHEN 1 THEN 'Property' WHEN 2 THEN 'Event' WHEN 3 THEN 'Type' WHEN 4 THEN 'Field' ELSE 'Constructor' END"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN k IN ('Method', 'Property', 'Event', 'Constructor') THEN CASE WHEN o_custkey % 3 = 0 THEN 'over' || o_custkey WHEN o_custkey % 5 = 0 THEN 'named' || o_custkey WHEN o_custkey % 2 = 0 THEN 'met' || o_custkey END
+    WHEN k = 'Type' THEN 'base' || o_custkey END AS source FROM (SELECT *, {_KIND} AS k FROM orders)""")
+def natural_source(spark, sf_dir):
+    """Natural documentation source of symbols of six kinds."""
+    o = _t(spark, sf_dir, "orders").withColumn("k", F.expr(_KIND))
+    c = F.col("o_custkey")
+    named = lambda prefix: F.concat(F.lit(prefix), c.cast("string"))
+    explicit = F.when(c % 5 == 0, F.array(named("named"), F.lit("later"))).otherwise(F.array().cast("array<string>"))
+    source = inherit.natural_source(F.col("k"), overridden=F.when(c % 3 == 0, named("over")), explicit=explicit, implicit=F.when(c % 2 == 0, named("met")), base=named("base"))
+    return o.select("o_orderkey", source.alias("source"))
+
+
+@query("""SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS uid, arg_min('c' || l_suppkey || '.' || x, (l_suppkey + i) * 100 + x) AS source
+    FROM lineitem, (VALUES (0, 1), (0, 2), (1, 1)) v(i, x) WHERE (l_partkey + i + x) % 3 = 0 GROUP BY uid""")
+def implicit_source(spark, sf_dir):
+    """First contract, by interface and place, that each line of an order implements."""
+    line = _t(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("uid"), "l_partkey", "l_suppkey")
+    v = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x")) for i, x in ((0, 1), (0, 2), (1, 1))])).alias("v")
+    met = line.select("uid", "l_partkey", "l_suppkey", v).select("uid", "l_partkey", "l_suppkey", "v.i", "v.x")
+    face, contract = F.concat_ws("-", "uid", "i").alias("interface"), F.concat(F.lit("c"), F.col("l_suppkey").cast("string"), F.lit("."), F.col("x").cast("string")).alias("contract")
+    own = F.concat_ws("#", "uid", "i", contract).alias("contract")
+    members = line.select("uid", F.col("uid").alias("type"))
+    interfaces = met.select(F.col("uid").alias("type"), (F.col("l_suppkey") + F.col("i")).alias("ord"), face).distinct()
+    contracts = met.select(face, F.col("x").alias("ord"), own)
+    implements = met.filter("(l_partkey + i + x) % 3 = 0").select(F.col("uid").alias("type"), own, "uid")
+    found = inherit.implicit_implementation(members, interfaces, contracts, implements)
+    return found.select("uid", F.substring_index("source", "#", -1).alias("source"))
+
+
+@query(f"""WITH f AS (SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey)
+    SELECT o_orderkey, CASE WHEN k IN ('Method', 'Constructor') THEN o_orderkey WHEN k = 'Property' AND o_orderkey % 4 < 3 THEN o_orderkey + 1 WHEN k = 'Property' THEN o_orderkey + 2
+        WHEN k = 'Event' THEN o_orderkey + 3 ELSE first END::VARCHAR AS method FROM (SELECT *, {_KIND} AS k FROM orders) o LEFT JOIN f ON f.o_custkey = o.o_custkey""")
+def location_method(spark, sf_dir):
+    """The method that stands for each order's place; a customer's first open order is its first method."""
+    o = _t(spark, sf_dir, "orders").withColumn("k", F.expr(_KIND))
+    first = inherit.first_methods(o, owner="o_custkey", uid="o_orderkey", is_method=F.col("o_orderstatus") == "O", token=F.col("o_orderkey"), order="o_orderkey")
+    key = F.col("o_orderkey")
+    method = inherit.location_method(F.col("k"), own=key, getter=F.when(key % 4 < 3, key + 1), setter=key + 2, adder=key + 3, remover=key + 4, first=F.col("first"))
+    return o.join(first, "o_custkey", "left").select("o_orderkey", method.cast("string").alias("method"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS summary, CASE WHEN s_suppkey % 5 = 0 THEN 'note ' || s_suppkey END AS remarks, s_suppkey % 4 = 0 AS explicit,
+        CASE WHEN s_suppkey > 1 THEN s_suppkey // 2 END AS parent FROM supplier),
+      e AS (SELECT *, CASE WHEN explicit OR (summary IS NULL AND remarks IS NULL) THEN parent END AS up FROM s),
+      w AS (SELECT id AS uid, id AS node, 0 AS depth FROM e UNION ALL SELECT w.uid, e.up, depth + 1 FROM w JOIN e ON e.id = w.node WHERE e.up IS NOT NULL),
+      r AS (SELECT uid, arg_min(summary, depth) FILTER (summary IS NOT NULL) AS summary, arg_min(remarks, depth) FILTER (remarks IS NOT NULL) AS remarks FROM w JOIN e ON e.id = w.node GROUP BY uid)
+    SELECT r.uid, r.summary, r.remarks, CASE WHEN e.up IS NOT NULL AND (e.explicit OR r.summary IS NOT NULL OR r.remarks IS NOT NULL) THEN 'of ' || e.up END AS inherited_from FROM r JOIN e ON e.id = r.uid""")
+def resolve_docs(spark, sf_dir):
+    """Documentation after inheritance in a tree of suppliers: some ask to inherit, some have no text."""
+    key = F.col("s_suppkey")
+    parent = F.when(key > 1, F.expr("s_suppkey div 2"))
+    nodes = _t(spark, sf_dir, "supplier").select(
+        key.alias("uid"), F.when(key % 3 == 0, F.col("s_name")).otherwise(F.lit("")).alias("summary"), F.when(key % 5 == 0, F.concat(F.lit("note "), key.cast("string"))).alias("remarks"),
+        (key % 4 == 0).alias("explicit"), F.when(key % 8 == 0, parent).alias("cref"), parent.alias("natural"), F.concat(F.lit("of "), key.cast("string")).alias("container"),
+    )
+    return inherit.resolve(nodes, fields=["summary", "remarks"])
+
+
+@query(r"""SELECT n_nationkey, chr(10) || '## Derived types' || chr(10) || chr(10) || string_agg('- [' || s_name || '][T:S.' || s_suppkey || ']', chr(10) ORDER BY s_suppkey) AS derived,
+        chr(10) || '??? abstract "Inherited members"' || chr(10) || string_agg('    - [`S.' || s_suppkey || '`][T:S.' || s_suppkey || ']', chr(10) ORDER BY s_suppkey) AS inherited,
+        chr(10) || '## Extension members' || chr(10) || chr(10) || string_agg('- [`' || n_name || '.' || s_name || '`][T:S.' || s_suppkey || ']', chr(10) ORDER BY s_suppkey) AS extensions,
+        chr(10) || '## See also' || chr(10) || chr(10) || string_agg('- [S.' || s_suppkey || '][T:S.' || s_suppkey || ']', chr(10) ORDER BY s_suppkey) AS see_also
+    FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey IS NOT NULL GROUP BY n_nationkey""")
+def page_lists(spark, sf_dir):
+    """The list sections of a type's page: a nation's suppliers as derived types, members and references."""
+    u = F.concat(F.lit("T:S."), F.col("s_suppkey").cast("string"))
+    item = F.struct("s_suppkey", F.struct(F.col("s_name").alias("display_name"), u.alias("uid"), F.col("n_name").alias("container"), F.col("s_name").alias("name")).alias("r"))
+    rows = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    g = rows.groupBy("n_nationkey").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"]).alias("refs"))
+    uids = F.transform("refs", lambda r: r["uid"])
+    return g.select("n_nationkey", sections.derived_types(F.col("refs")).alias("derived"), sections.inherited_members(uids).alias("inherited"), sections.extension_members(F.col("refs")).alias("extensions"), sections.see_also(uids).alias("see_also"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '    content: void P' || p_partkey || '()' ELSE '    content: >-' || chr(10) || '    [Sized(' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ', Brand=' || p_brand ELSE '' END || ')]' || chr(10) || '    ' || chr(10) || '    void P' || p_partkey || '()' END AS syntax,
+    CASE WHEN p_partkey % 4 <> 0 THEN '  attributes:' || chr(10) || '  - type: N.SizedAttribute' || chr(10) || '    ctor: N.SizedAttribute.C' || p_size || chr(10) || '    arguments:' || chr(10) || '    - value: ' || p_size || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '    - name: Brand' || chr(10) || '      value: ' || p_brand ELSE '' END END AS attributes,
+    '  seealso:' || chr(10) || '  - linkType: CRef' || chr(10) || '    commentId: T:P.' || p_partkey || chr(10) || '    altText: P.' || p_partkey AS seealso FROM part""")
+def yaml_blocks(spark, sf_dir):
+    """Syntax, attributes and seealso blocks; attributes of the compiler are left out."""
+    p = _t(spark, sf_dir, "part")
+    size = F.struct(F.lit(None).cast("string").alias("name"), F.col("p_size").cast("string").alias("value"))
+    brand = F.struct(F.lit("Brand").alias("name"), F.col("p_brand").alias("value"))
+    sized = F.struct(F.lit("Sized").alias("display_name"), F.lit("T:N.SizedAttribute").alias("uid"), F.concat(F.lit("M:N.SizedAttribute.C"), F.col("p_size").cast("string")).alias("constructor_uid"), F.when(F.col("p_partkey") % 2 == 0, F.array(size, brand)).otherwise(F.array(size)).alias("arguments"))
+    hidden = F.struct(F.lit("Nullable").alias("display_name"), F.lit("T:System.Runtime.CompilerServices.NullableAttribute").alias("uid"), F.lit("").alias("constructor_uid"), F.array(size).alias("arguments"))
+    attributes = F.when(F.col("p_partkey") % 4 == 0, F.array(hidden)).otherwise(F.array(sized, hidden))
+    signature = F.concat(F.lit("void P"), F.col("p_partkey").cast("string"), F.lit("()"))
+    cref = F.array(F.concat(F.lit("T:P."), F.col("p_partkey").cast("string")))
+    return p.select("p_partkey", sections.yaml_syntax(attributes, signature).alias("syntax"), sections.yaml_attributes(attributes).alias("attributes"), sections.yaml_seealso(cref).alias("seealso"))
+
+
+@query(r"""SELECT o_orderkey, 'references:' || chr(10) || '- uid: ' || b || chr(10) || '  commentId: T:' || b || chr(10) || '  parent: ' || p || CASE WHEN inside THEN chr(10) || '  href: ' || b || '.html' ELSE chr(10) || '  isExternal: true' || CASE WHEN p = 'System' THEN chr(10) || '  href: https://learn.microsoft.com/dotnet/api/' || lower(b) ELSE '' END END
+        || chr(10) || '  name: ' || n || chr(10) || '  nameWithType: ' || n || chr(10) || '  fullName: ' || b AS refs
+    FROM (SELECT *, p || '.C' || o_custkey AS b, 'C' || o_custkey AS n, o_custkey % 2 = 0 AS inside FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'System' ELSE 'Shop' END AS p FROM orders))""")
+def yaml_references(spark, sf_dir):
+    """Reference entries: those with a page, framework types and others."""
+    o = _t(spark, sf_dir, "orders")
+    n = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
+    u = F.concat(F.lit("T:"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("System")).otherwise(F.lit("Shop")), F.lit("."), n)
+    inside = F.when(F.col("o_custkey") % 2 == 0, F.array(u)).otherwise(F.array().cast("array<string>"))
+    refs = F.array(F.struct(n.alias("display_name"), u.alias("uid")))
+    return o.select("o_orderkey", sections.yaml_references(refs, inside, "https://learn.microsoft.com/dotnet/api/").alias("refs"))
+
+
+@query(r"""SELECT r_regionkey, chr(10) || '## Cases' || chr(10) || chr(10) || '| Case | Description |' || chr(10) || '| ---- | ----------- |' || chr(10) || string_agg('| [N' || n_nationkey || '][T:N' || n_nationkey || '] |  |', chr(10) ORDER BY n_nationkey)
+        || chr(10) || chr(10) || '??? abstract "Union shape"' || chr(10) || chr(10) || '    ```mermaid' || chr(10) || '    classDiagram' || chr(10) || '    class R' || r_regionkey || ' {' || chr(10) || '        <<union>>' || chr(10) || '    }' || chr(10)
+        || string_agg('    class N' || n_nationkey || chr(10) || '    R' || r_regionkey || ' o-- N' || n_nationkey, chr(10) ORDER BY n_nationkey) || chr(10) || '    ```' || chr(10) AS cases
+    FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
+def page_cases(spark, sf_dir):
+    """Cases table and diagram of a union: a region with its nations."""
+    n = F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))
+    case = F.struct("n_nationkey", F.struct(n.alias("display_name"), F.concat(F.lit("T:"), n).alias("uid")).alias("r"))
+    g = _t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.transform(F.array_sort(F.collect_list(case)), lambda x: x["r"]).alias("cases"))
+    return g.select("r_regionkey", sections.union_cases(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")), F.col("cases")).alias("cases"))
+
+
+def _parts_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An API catalog made of the parts: each a type in two or three frameworks, derived from the part of half its number, with one member."""
+    key = F.col("p_partkey").cast("string")
+    name = F.concat(F.lit("P"), key)
+    typed = {f.name: F.lit(None).cast(f.dataType) for f in schema.types_schema().fields}
+    base = F.when(F.col("p_partkey") > 1, F.expr("p_partkey div 2")).cast("string")
+    doc = lambda text_: F.from_json(F.to_json(F.struct(text_.alias("summary"))), schema.DOCUMENTATION)
+    member = F.from_json(F.to_json(F.struct(F.concat(F.lit("M:Shop."), name, F.lit(".Sell")).alias("uid"), F.lit("Sell").alias("name"), F.lit("Method").alias("kind"), F.concat(F.lit("void Sell"), key, F.lit("()")).alias("signature"))), schema.MEMBER)
+    sold = F.concat(F.lit("Sells <c>"), name, F.lit("</c>."))
+    known = {
+        "uid": F.concat(F.lit("T:Shop."), name), "name": name, "full_name": F.concat(F.lit("Shop."), name), "namespace": F.lit("Shop"), "arity": F.lit(0), "type_kind": F.lit("object"), "object_kind": F.lit("Struct"),
+        "is_static": F.lit(False), "is_abstract": F.lit(False), "is_sealed": F.lit(False), "is_obsolete": F.lit(False), "assembly_name": F.col("p_type"),
+        "base": F.when(base.isNotNull(), F.struct(F.concat(F.lit("P"), base).alias("display_name"), F.concat(F.lit("T:Shop.P"), base).alias("uid"))),
+        "documentation": doc(F.concat(F.lit("The <b>part</b> "), key, F.lit("."))), "members": F.array(member.withField("documentation", doc(sold))),
+    }
+    tfms = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("net8.0"), F.lit("net10.0"))).otherwise(F.array(F.lit("netstandard2.0"), F.lit("net8.0"), F.lit("net472")))
+    rows = _t(spark, sf_dir, "part").select("*", F.explode(tfms).alias("t"))
+    return rows.select(*[known.get(c, F.col("t") if c == "tfm" else null).cast(null_type.dataType).alias(c) for (c, null), null_type in zip(typed.items(), schema.types_schema().fields, strict=True)])
+
+
+def _parts_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pages.documented(catalog_api.with_indexes(materialize(catalog_api.extract(_parts_catalog(spark, sf_dir)), "merged")))
+
+
+_PART_TREE = """WITH p AS (SELECT p_partkey AS k, p_type AS a, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS b FROM part),
+    d AS (SELECT b AS k, string_agg('- [P' || k || '][T:Shop.P' || k || ']', chr(10) ORDER BY k) AS md, string_agg('  - Shop.P' || k, chr(10) ORDER BY k) AS yml FROM p WHERE b IS NOT NULL GROUP BY b)"""
+
+
+@query(_PART_TREE + """ SELECT 'Shop/P' || p.k || '.md' AS path, concat_ws(chr(10), '---', 'title: P' || p.k, '---', '', '# P' || p.k || ' { #T:Shop.P' || p.k || ' }', '', 'The **part** ' || p.k || '.', '',
+        '```csharp', 'public struct P' || p.k || coalesce(' : P' || b, ''), '```', CASE WHEN b IS NOT NULL THEN concat_ws(chr(10), '', '```mermaid', 'classDiagram', '    P' || b || ' <|-- P' || p.k, '```') END, '',
+        'Applies to: ' || CASE WHEN p.k % 2 = 0 THEN 'net10.0, net8.0' ELSE 'net8.0, netstandard2.0, net472' END, '', '## Methods', '', '| Name | Summary |', '| --- | --- |', '| Sell | Sells `P' || p.k || '`. |',
+        CASE WHEN md IS NOT NULL THEN concat_ws(chr(10), '', '## Derived types', '', md) END) AS body FROM p LEFT JOIN d ON d.k = p.k""")
+def type_pages(spark, sf_dir):
+    """Markdown page of every type: merged over frameworks, indexed, rendered."""
+    return pages.type_pages(_parts_types(spark, sf_dir))
+
+
+@query("""SELECT 'Shop/P' || p_partkey || '/Sell.md' AS path, concat_ws(chr(10), '---', 'title: P' || p_partkey || '.Sell', '---', '', '# P' || p_partkey || '.Sell { #M:Shop.P' || p_partkey || '.Sell* }', '', '## Sell', '',
+        '```csharp', 'void Sell' || p_partkey || '()', '```', '', 'Sells `P' || p_partkey || '`.') AS body FROM part""")
+def member_pages(spark, sf_dir):
+    """Markdown page of every overload group, with rendered documentation."""
+    return pages.member_pages(_parts_types(spark, sf_dir))
+
+
+@query(_PART_TREE + """ SELECT 'Shop.P' || p.k || '.yml' AS path, concat_ws(chr(10), '### YamlMime:ManagedReference', 'items:', '- uid: Shop.P' || p.k, '  commentId: T:Shop.P' || p.k, '  id: P' || p.k, '  parent: Shop', '  children:', '  - Shop.P' || p.k || '.Sell',
+        '  langs:', '  - csharp', '  name: P' || p.k, '  nameWithType: P' || p.k, '  fullName: Shop.P' || p.k, '  type: Struct', '  assemblies:', '  - ' || a, '  namespace: Shop', '  summary: The **part** ' || p.k || '.', '  syntax:',
+        '    content: ' || CASE WHEN b IS NULL THEN 'public struct P' || p.k ELSE '"public struct P' || p.k || ' : P' || b || '"' END, CASE WHEN b IS NOT NULL THEN '  inheritance:' || chr(10) || '  - Shop.P' || b END,
+        CASE WHEN yml IS NOT NULL THEN '  derivedClasses:' || chr(10) || yml END, '- uid: Shop.P' || p.k || '.Sell', '  commentId: M:Shop.P' || p.k || '.Sell', '  id: Sell', '  parent: Shop.P' || p.k, '  langs:', '  - csharp', '  name: Sell()',
+        '  nameWithType: P' || p.k || '.Sell()', '  fullName: Shop.P' || p.k || '.Sell()', '  type: Method', '  assemblies:', '  - ' || a, '  namespace: Shop', '  summary: Sells `P' || p.k || '`.', '  syntax:', '    content: void Sell' || p.k || '()',
+        '  overload: Shop.P' || p.k || '.Sell*', CASE WHEN b IS NOT NULL THEN concat_ws(chr(10), 'references:', '- uid: Shop.P' || b, '  commentId: T:Shop.P' || b, '  parent: Shop', '  href: Shop.P' || b || '.html', '  name: P' || b, '  nameWithType: P' || b, '  fullName: Shop.P' || b) END) AS body
+        FROM p LEFT JOIN d ON d.k = p.k
+    UNION ALL SELECT 'Shop.yml', concat_ws(chr(10), '### YamlMime:ManagedReference', 'items:', '- uid: Shop', '  type: Namespace', '  children:', string_agg('  - Shop.P' || k, chr(10) ORDER BY 'Shop.P' || k)) FROM p""")
+def yaml_pages(spark, sf_dir):
+    """YAML page of every type and of the namespace, with references."""
+    return pages.yaml_pages(_parts_types(spark, sf_dir))

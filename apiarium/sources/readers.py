@@ -26,8 +26,34 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The package manifest; malformed JSON is an error, unknown keys are ignored."""
-    return spark.read.schema(schema.MANIFEST).json(path, multiLine=True, mode="FAILFAST", allowComments=True)
+    """The package manifest; malformed JSON and a key that occurs twice are errors, unknown keys are ignored."""
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\uFEFF", "").alias("j"))
+    clean = F.regexp_replace("j", r'(?s)("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', "$1")
+    keys = _top_keys(clean)
+    twice = F.filter(keys, lambda k: F.size(F.filter(keys, lambda o: o == k)) > 1)
+    checked = F.when(F.size(twice) > 0, F.raise_error(F.concat(F.lit("repeated key in the manifest: "), F.get(twice, F.lit(0))))).otherwise(clean)
+    return raw.select(F.from_json(checked, schema.MANIFEST, {"mode": "FAILFAST"}).alias("m")).select("m.*")
+
+
+def _top_keys(json_text: Column) -> Column:
+    """Keys of the outermost object, repeated ones too."""
+    # strings keep their place and length; their contents can neither open nor close anything
+    strings = F.regexp_extract_all(json_text, F.lit(r'"((?:[^"\\]|\\.)*)"'), 1)
+    parts = F.split(F.regexp_replace(json_text, r'"(?:[^"\\]|\\.)*"', '"'), '"')
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("i"), F.array().cast("array<string>").alias("keys"))
+
+    def step(s: Column, part: Column) -> Column:
+        opened = F.length(F.regexp_replace(part, r"[^\[{]", "")) - F.length(F.regexp_replace(part, r"[^\]}]", ""))
+        own = (s["depth"] == 1) & (s["i"] > 0) & part.rlike(r"^\s*:")
+        keys = F.when(own, F.concat(s["keys"], F.array(F.get(strings, s["i"] - 1)))).otherwise(s["keys"])
+        return F.struct((s["depth"] + opened).cast("int").alias("depth"), (s["i"] + 1).alias("i"), keys.alias("keys"))
+
+    return F.aggregate(parts, start, step)["keys"]
+
+
+def with_overrides(packages: DataFrame, overrides: Column) -> DataFrame:
+    """``packages`` (id, ...) with ``tfm_override``: the manifest's entry for that id, letter for letter, or null."""
+    return packages.withColumn("tfm_override", F.element_at(overrides, F.col("id")))
 
 
 def read_config(spark: SparkSession, path: str, known: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from apiarium.operators import closure, filters, flatten, merge, select
@@ -49,7 +50,7 @@ def test_indexes(spark):
     types = catalog(spark, [{"uid": "T:Base", "tfm": "t", "members": [member("M:Base.Run", "Run"), member("M:Base.g", "<g>")]}, {"uid": "T:Child", "tfm": "t", "base": {"display_name": "Base", "uid": "T:Base"}}, {"uid": "T:S", "tfm": "t", "object_kind": "Struct"}, {"uid": "T:Host", "tfm": "t", "is_static": True, "members": [member("M:Host.Ext", "Ext", is_extension=True, parameters=[{"name": "x", "type": {"display_name": "Base", "uid": "T:Base"}}])]}])
     ix = catalog_api.build_indexes(types)
     assert [[x["uid"] for x in r["derived"]] for r in ix["derived"].collect()] == [["T:Child"]]
-    assert [(r["uid"], r["extensions"]) for r in ix["extensions"].collect()] == [("T:Base", ["M:Host.Ext"])]
+    assert [(r["uid"], [tuple(x) for x in r["extensions"]]) for r in ix["extensions"].collect()] == [("T:Base", [("T:Host", "Ext", "M:Host.Ext")])]
     inherited = {r["uid"]: r["inherited"] for r in ix["inherited"].collect()}
     assert inherited["T:Child"][0] == "M:Base.Run" and len(inherited["T:Child"]) == 8
     assert len(inherited["T:Base"]) == 7 and "T:S" not in inherited
@@ -78,9 +79,9 @@ def test_closures_end_on_cycles(spark):
 
 
 def test_rules_and_references(spark):
-    rows = spark.createDataFrame([("ReactiveUI.Maui",), ("ReactiveUIX",), ("Splat",)], "n string")
-    got = rows.select(select.boundary_rule(F.col("n"), [("ReactiveUI", "rx"), ("Splat", "sp")])).collect()
-    assert [r[0] for r in got] == ["rx", None, "sp"]
+    rows = spark.createDataFrame([("Harbour.Boats",), ("HarbourX",), ("Quay",)], "n string")
+    got = rows.select(select.boundary_rule(F.col("n"), [("Harbour", "hb"), ("Quay", "qy")])).collect()
+    assert [r[0] for r in got] == ["hb", None, "qy"]
     refs = F.array(*map(F.lit, ["net6.0", "net8.0", "netstandard2.0", "net472"]))
     pick = lambda t: spark.range(1).select(select.best_reference(F.lit(t), refs)).first()[0]
     assert [pick(t) for t in ("net8.0", "net8.0-ios", "net7.0", "netstandard2.1", "netstandard1.0")] == ["net8.0", "net8.0", "net6.0", "netstandard2.0", "net8.0"]
@@ -103,6 +104,16 @@ def test_settings(spark):
 def test_readers(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"nugetPackageOwners": ["o"], "tfmPreference": ["net10.0"], "unknown": 1}')
     assert readers.read_manifest(spark, str(tmp_path / "m.json")).first()["tfmPreference"] == ["net10.0"]
+    (tmp_path / "t.json").write_text('{"tfmPreference": ["a"], /* "tfmPreference" */ "tfmOverrides": {"x": "y", "tfmPreference": "z"}, "tfmPreference": ["b"]}')
+    with pytest.raises(Exception, match="repeated key in the manifest: tfmPreference"):
+        readers.read_manifest(spark, str(tmp_path / "t.json")).collect()
+    (tmp_path / "o.json").write_text('// c\n{"tfmOverrides": {"A": "net8.0", "tfmPreference": "q{[\\""}, "tfmPreference": ["n"]}')
+    o = readers.read_manifest(spark, str(tmp_path / "o.json"))
+    got = readers.with_overrides(o.select(F.explode(F.array(F.lit("A"), F.lit("a"))).alias("id"), "tfmOverrides"), F.col("tfmOverrides"))
+    assert [(r.id, r.tfm_override) for r in got.collect()] == [("A", "net8.0"), ("a", None)]
+    (tmp_path / "bad.json").write_text('{"tfmPreference": [}')
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        readers.read_manifest(spark, str(tmp_path / "bad.json")).collect()
     (tmp_path / "c.json").write_text('{"build": {"x": [1,],}, /* c */ "other": {"y": "//no"},}')
     got = readers.read_config(spark, str(tmp_path / "c.json"), ["build"]).first()
     assert json.loads(got["build"]) == {"x": [1]} and json.loads(got["extra"]["other"]) == {"y": "//no"}
@@ -138,6 +149,46 @@ def test_pages(spark, tmp_path):
     assert pages.export_files(pages.yaml_pages(types), str(tmp_path / "files")) == 2
 
 
+def test_page_sections(spark, tmp_path):
+    doc = {"summary": "Has <c>code</c>.", "remarks": "", "returns": "A <b>b</b>", "value": "", "examples": ["<i>e</i>"], "parameters": [{"name": "x", "value": "the <c>x</c>"}], "type_parameters": [], "exceptions": [], "see_also": ["T:N.Base", "T:System.Uri"]}
+    ref = lambda n, u: {"display_name": n, "uid": u}
+    attribute = {"display_name": "Old", "uid": "T:N.OldAttribute", "constructor_uid": "", "arguments": []}
+    rows = [
+        {"uid": "T:N.Base", "tfm": "t", "name": "Base", "full_name": "N.Base", "namespace": "N", "attributes": [attribute], "members": [member("M:N.Base.Run", "Run", documentation=doc, parameters=[{"name": "x", "type": ref("int", "T:System.Int32")}], source_url="https://s/1")]},
+        {"uid": "T:N.Child", "tfm": "t", "name": "Child", "full_name": "N.Child", "namespace": "N", "base": ref("Base", "T:N.Base"), "documentation": doc},
+        {"uid": "T:N.Host", "tfm": "t", "name": "Host", "full_name": "N.Host", "namespace": "N", "is_static": True, "members": [member("M:N.Host.Ext", "Ext", is_extension=True, parameters=[{"name": "b", "type": ref("Base", "T:N.Base")}])]},
+        {"uid": "T:N.U", "tfm": "t", "name": "U", "full_name": "N.U", "namespace": "N", "type_kind": "union", "object_kind": None, "cases": [ref("Base", "T:N.Base")]},
+        {"uid": "T:N.E", "tfm": "t", "name": "E", "full_name": "N.E", "namespace": "N", "type_kind": "enum", "object_kind": None, "values": [{"name": "One", "uid": "F:N.E.One", "value": "1", "documentation": doc}]},
+        {"uid": "T:N.D", "tfm": "t", "name": "D", "full_name": "N.D", "namespace": "N", "type_kind": "delegate", "object_kind": None, "invoke": {"signature": "int D(int x)", "parameters": [{"name": "x", "type": ref("int", "T:System.Int32")}], "return_type": ref("int", "T:System.Int32")}},
+    ]
+    types = pages.documented(catalog_api.with_indexes(catalog_api.extract(catalog(spark, rows))))
+    md = {r.path: r.body for r in pages.type_pages(types).union(pages.member_pages(types)).collect()}
+    base, child = md["N/Base.md"], md["N/Child.md"]
+    assert "## Derived types\n\n- [Child][T:N.Child]" in base and "## Extension members\n\n- [`Host.Ext`][M:N.Host.Ext]" in base and "Attributes: `[Old]`" in base
+    assert "    - [`N.Base.Run`][M:N.Base.Run]" in child and "## See also\n\n- [N.Base][T:N.Base]\n- [System.Uri](https://learn.microsoft.com/dotnet/api/system.uri)" in child
+    assert "| [Base][T:N.Base] |  |" in md["N/U.md"] and "U o-- Base" in md["N/U.md"]
+    run = md["N/Base/Run.md"]
+    assert "Has `code`." in run and "the `x`" in run and "**Returns:** A **b**" in run and "[View source](https://s/1)" in run and "<c>" not in run
+    yml = {r.path: r.body for r in pages.yaml_pages(types).collect()}
+    assert "  seealso:\n  - linkType: CRef\n    commentId: T:N.Base\n    altText: N.Base" in yml["N.Child.yml"]
+    assert "  derivedClasses:\n  - N.Child" in yml["N.Base.yml"] and "  attributes:\n  - type: N.OldAttribute\n    arguments: []" in yml["N.Base.yml"] and "    content: >-\n    [Old]\n    \n    public class Base" in yml["N.Base.yml"]
+    assert "- uid: System.Int32\n  commentId: T:System.Int32\n  parent: System\n  isExternal: true\n  href: https://learn.microsoft.com/dotnet/api/system.int32\n  name: int" in yml["N.Base.yml"]
+    assert "    - id: One\n      defaultValue: 1\n      description: Has `code`." in yml["N.E.yml"] and "public enum E" in yml["N.E.yml"]
+    assert "    content: int D(int x)\n    parameters:\n    - id: x\n      type: System.Int32\n    return:\n      type: System.Int32" in yml["N.D.yml"]
+    assert "syntax" not in yml["N.U.yml"]
+    for flavour, n in (("markdown", 10), ("yaml", 7)):
+        assert tuple(catalog_api.run(catalog(spark, rows), str(tmp_path / flavour), flavour).first()) == (6, 1, n)
+
+
+def test_inheritance_of_documentation(spark):
+    from apiarium.operators import inherit
+
+    rows = [("a", "A", "", False, None, None), ("b", "", "", False, None, "a"), ("c", "", "note", True, None, "b"), ("d", "own", "", False, None, "a"), ("e", "", "", False, None, "z"), ("f", "", "", True, "g", None), ("g", "", "", True, "f", None), ("h", "H", "", True, "a", "d"), ("i", "", "", True, None, "j"), ("j", "", "", False, None, None)]
+    nodes = spark.createDataFrame([(*r, r[0].upper()) for r in rows], "uid string, summary string, remarks string, explicit boolean, cref string, natural string, container string")
+    got = {r.uid: (r.summary, r.remarks, r.inherited_from) for r in inherit.resolve(nodes, fields=["summary", "remarks"]).collect()}
+    assert got == {"a": ("A", None, None), "b": ("A", None, "A"), "c": ("A", "note", "B"), "d": ("own", None, None), "e": (None, None, None), "f": (None, None, None), "g": (None, None, None), "h": ("H", None, "A"), "i": (None, None, "J"), "j": (None, None, None)}
+
+
 def test_incremental_merge_equals_batch(spark, tmp_path):
     rows = [{"uid": f"T{i % 7}", "tfm": t} for i in range(20) for t in ("net8.0", "net10.0")]
     whole = catalog(spark, rows).select("uid", "tfm", "source_url", "full_name")

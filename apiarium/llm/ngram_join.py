@@ -36,7 +36,7 @@ their names, are ignored by ``join`` and passed through by ``drop_near_duplicate
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,6 +50,8 @@ from apiarium.llm.components import components
 from apiarium.scratch import discard, materialize
 
 RATE = 0.25
+LEADS = 3
+HALF = np.uint64(0xFFFFFFFF)
 BLOCK_SIZE = 512
 BLOCK_TOKENS = 1 << 20
 LIMIT = np.uint64(int(RATE * 2**64))
@@ -105,12 +107,14 @@ def _sketches(words: int, percent: int):
 
 
 def _full(words: int):
+    half = HALF
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, off in textcore.blocks(batch.column(1)):
                 sets = shingle_sets(data, off, words)
-                low = [np.sort(u.astype(np.uint32)).tobytes() for u in sets]
+                low = [np.sort((u & half).astype(np.uint32)).tobytes() for u in sets]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(low, pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())], names=["rep", "low", "tokens"])
 
     return textcore.tidy(run)
@@ -158,40 +162,54 @@ def _grouped(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(named, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
 
 
-def _across(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The rows of tokens that several groups hold, with the first and the last group of the token's list and a class of each.
+def _shared(rows: DataFrame) -> DataFrame:
+    """(tok, rep, share): the tokens that several classes hold, and which part of all tokens shown those are of a class (0 to 1023).
+
+    Partial sums meet the rows in a join, which adaptive execution can split where a token is frequent.
+    """
+    ends = rows.groupBy("tok").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
+    both = rows.join(ends.select("tok"), "tok")
+    # what is no one else's token says how far a class is from the middle of its family
+    own = rows.groupBy("rep").agg(F.count("*").alias("shown"))
+    held = both.groupBy("rep").agg(F.count("*").alias("held"))
+    return both.join(own.join(held, "rep").select("rep", F.floor(F.col("held") * 1023 / F.col("shown")).cast("int").alias("share")), "rep")
+
+
+def _across(rows: DataFrame, found: DataFrame | None, seed: int) -> DataFrame:
+    """The rows of tokens that several groups hold, with ``LEADS`` classes that lead the token's list and their groups.
 
-    Partial sums meet the rows in a join, which adaptive execution can split where a token is
-    frequent. Groups only grow, so a token of one group is out for good.
+    The first leader has the largest share of tokens in common with others, as the text that a
+    family was made of has; further ones are drawn among those of about the largest share, anew
+    in every round. Groups only grow, so a token of one group is out for good.
     """
     rows = _grouped(rows, found)
-    if found is None:  # every class is its own group
-        ends = rows.groupBy("tok").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).withColumns({"first": F.col("lo"), "last": F.col("hi")})
-    else:  # the same class for all tokens of a group, as far as it holds them
-        me = F.struct("grp", "rep")
-        ends = rows.groupBy("tok").agg(F.min(me).alias("x"), F.max(me).alias("y")).select("tok", F.col("x.grp").alias("lo"), F.col("y.grp").alias("hi"), F.col("x.rep").alias("first"), F.col("y.rep").alias("last"))
-    return rows.join(ends.filter("lo < hi"), "tok")
+    out = [F.min("grp").alias("lo"), F.max("grp").alias("hi")]
+    for k in range(LEADS):
+        far = 1023 - F.col("share") if k == 0 else F.lit(7) - F.floor(F.col("share") / 128)
+        at = F.shiftleft(far.cast("long"), 52) + F.pmod(F.xxhash64("rep", F.lit(seed * LEADS + k)), F.lit(1 << 52))
+        out += [F.min_by("rep", at).alias(f"lead{k}"), F.min_by("grp", at).alias(f"of{k}")]
+    return rows.join(rows.groupBy("tok").agg(*out).filter("lo < hi"), "tok")
 
 
 def _leaders(led: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """For each class the class of another group that leads most of its tokens' lists, if it leads enough of them."""
-    other = F.when(F.col("lo") != F.col("grp"), F.col("first")).otherwise(F.col("last"))
-    votes = led.select("rep", other.alias("lead")).groupBy("rep", "lead").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("rep").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead"), F.max("votes").alias("votes"))
-    best = best.join(sizes, "rep").filter(F.col("votes") * 3 >= F.col("m"))
+    """For each class those of other groups that lead a third of its tokens' lists, so a few at most."""
+    leads = F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"of{k}") != F.col("grp"), F.col(f"lead{k}")) for k in range(LEADS)])))
+    votes = led.select("rep", F.explode(leads).alias("lead")).groupBy("rep", "lead").agg(F.count("*").alias("votes"))
+    best = votes.join(sizes.select("rep", "n", "m"), "rep").filter(F.col("votes") * 3 >= F.col("m"))
     lead = sizes.select(F.col("rep").alias("lead"), F.col("n").alias("lead_n"))
     best = best.join(lead, "lead").filter((F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent))
     return best.select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b"))
 
 
-def _open(percent: int):
-    """Pairs of a query and a member of a block that their sets of half hashes don't rule out.
+def _open(percent: int, every: bool):
+    """Pairs of a query and a member of a block that their sets of half hashes don't rule out, with the query.
 
-    Half hashes can only add to an overlap, so what they say is an upper bound.
+    Half hashes can only add to an overlap, so what they say is an upper bound. A group's
+    members are linked already, so its most similar one stands for it, unless ``every``.
     """
 
     def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((0, 2), np.int64)]
+        out = [np.zeros((0, 3), np.int64)]
         if len(queries) and len(members):
             sets = [np.frombuffer(t, dtype=np.uint32) for t in members["m_low"]]
             owner = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
@@ -207,17 +225,23 @@ def _open(percent: int):
                 count = hi - lo
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
                 both = np.bincount(owner[at], minlength=len(sets))
-                near = (groups != grp) & (100 * both >= percent * (n + sizes - both))
-                if near.any():
+                near = np.flatnonzero((groups != grp) & (100 * both >= percent * (n + sizes - both)))
+                if len(near) and not every:
+                    best = near[np.lexsort((ids[near], -both[near] / (n + sizes[near] - both[near]), groups[near]))]
+                    near = best[np.flatnonzero(np.diff(groups[best], prepend=groups[best[0]] - 1))]
+                if len(near):
                     r = ids[near]
-                    out.append(np.column_stack([np.maximum(r, rep), np.minimum(r, rep)]))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+                    out.append(np.column_stack([np.maximum(r, rep), np.minimum(r, rep), np.full(len(r), rep)]))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b", "query"])
 
     return lambda key, q, m: run(q, m)
 
 
-def candidates(rows: DataFrame, sizes: DataFrame, places: DataFrame, docs: DataFrame, found: DataFrame | None, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of classes of different groups that all but surely link, and the sets of all classes that were compared."""
+def candidates(rows: DataFrame, sizes: DataFrame, places: DataFrame, docs: DataFrame, found: DataFrame | None, words: int, percent: int) -> tuple[Callable[..., DataFrame], DataFrame]:
+    """How to get pairs (a, b, query) of classes of different groups that all but surely link, and the sets of all classes that are compared.
+
+    The call gives one pair for each query and group of a block, or with ``queries`` (rep) every pair of those.
+    """
     rows = _grouped(rows, found)
     held = rows.select("tok", "grp").distinct()
     lists = held.groupBy("tok").agg(F.count("*").alias("groups")).filter("groups > 1")
@@ -258,8 +282,13 @@ def candidates(rows: DataFrame, sizes: DataFrame, places: DataFrame, docs: DataF
     blocks = members.join(hot, "block").select("rep", "grp", "n", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     blocks = blocks.join(sets.select(F.col("rep"), F.col("low").alias("held")), "rep")
     blocks = blocks.toDF("m_rep", "m_grp", "m_n", "m_block", "m_part", "m_low")
-    opened = asked.groupBy("block", "part").cogroup(blocks.groupBy("m_block", "m_part")).applyInPandas(_open(percent), "a long, b long")
-    return opened.distinct(), sets
+
+    def opened(queries: DataFrame | None = None) -> DataFrame:
+        some = asked if queries is None else asked.join(queries, "rep", "left_semi")
+        both = some.groupBy("block", "part").cogroup(blocks.groupBy("m_block", "m_part"))
+        return both.applyInPandas(_open(percent, queries is not None), "a long, b long, query long")
+
+    return opened, sets
 
 
 def linked(docs: DataFrame, *, words: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
@@ -278,14 +307,12 @@ def linked(docs: DataFrame, *, words: int = 5, percent: int = 80, rounds: int =
     places = sketches.select("rep", "file", "row")
     rows = sketches.select("rep", F.explode("toks").alias("tok"))
     sizes = materialize(sketches.select("rep", "n", F.size(F.filter("toks", lambda t: t < LATE)).cast("long").alias("m")), "sizes")
-    links, found, before = None, None, None
-    for _ in range(max(1, rounds)):
-        led = materialize(_across(rows, found), "across")
-        if before is not None:
-            discard(before)
-        before, rows = led, led.select("tok", "rep")
-        if not rounds:
-            break
+    before = materialize(_shared(rows), "shared")
+    rows, links, found = before, None, None
+    for i in range(rounds):
+        led = materialize(_across(rows, found, i), "across")
+        discard(before)
+        before, rows = led, led.select("tok", "rep", "share")
         pairs = materialize(_leaders(led, sizes, percent).distinct(), "leaders")
         if pairs.isEmpty():
             break
@@ -297,9 +324,14 @@ def linked(docs: DataFrame, *, words: int = 5, percent: int = 80, rounds: int =
             break
         links = new if links is None else links.union(new)
         found = materialize(components(links), "groups")
-    pairs, some = candidates(rows, sizes, places, docs, found, words, percent)
-    new = materialize(verified(pairs, some, percent), "last-links")
-    discard(before, sizes, some)
+    opened, some = candidates(rows.select("tok", "rep"), sizes, places, docs, found, words, percent)
+    pairs = materialize(opened(), "opened")
+    new = materialize(verified(pairs.select("a", "b").distinct(), some, percent), "last-links")
+    # where halves of hashes have misled, which they hardly ever do, another member of the group may link
+    wrong = pairs.join(new, ["a", "b"], "left_anti").select(F.col("query").alias("rep")).distinct()
+    if not wrong.isEmpty():
+        new = materialize(new.union(verified(opened(wrong).select("a", "b").distinct(), some, percent)), "last-links")
+    discard(before, sizes, some, pairs)
     links = new if links is None else links.union(new)
     found = materialize(components(links), "components").withColumnRenamed("node", "rep")
     # the first row of a component is the first of its classes' first rows

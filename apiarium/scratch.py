@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -86,6 +88,17 @@ def discard(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._scratch_path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Give back what an operator of many small queries has left on the driver: plans, generated classes, freed memory.
+
+    For the end of an operator, not for its rounds.
+    """
+    gc.collect()  # plans are held by Python's references to them
+    with contextlib.suppress(AttributeError, OSError):  # not the GNU library
+        ctypes.CDLL(None).malloc_trim(0)
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that this application has materialized so far."""
     _delete(spark, _own(spark))

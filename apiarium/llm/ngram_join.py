@@ -47,7 +47,7 @@ from pyspark.sql.window import Window
 
 from apiarium.llm import common, textcore
 from apiarium.llm.components import components
-from apiarium.scratch import discard, materialize
+from apiarium.scratch import discard, materialize, settle
 
 RATE = 0.25
 LEADS = 3
@@ -338,6 +338,7 @@ def linked(docs: DataFrame, *, words: int = 5, percent: int = 80, rounds: int =
     best = found.join(classes.select("rep", "keep"), "rep").groupBy("component").agg(F.min("keep").alias("best"))
     best = found.join(best, "component").select("rep", "best")
     kept = materialize(classes.join(best, "rep", "left").select(*key, F.coalesce("best", "keep").alias("keep")), "kept")
+    settle(docs.sparkSession)
     out = sets.select("file", "row", "doc_id", "line", *key).join(kept, key, "left")
     alone = F.col("keep").isNull()  # without a shingle
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id"))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apiarium.llm import common, textcore
+from apiarium.scratch import settle
 
 BITS, DIM, ONES = 14, 32, 4
 BUCKETS, WIDTH = 1 << BITS, DIM + 1
@@ -92,8 +93,10 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     parts = docs.select("text").mapInArrow(textcore.tidy(_tables), "bucket long, v array<float>")
     sums = [F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(DIM)]
     table = np.zeros((BUCKETS, DIM), dtype=np.float32)
-    for r in parts.groupBy("bucket").agg(*sums).toLocalIterator():
-        table[r[0]] = r[1:]
+    got = parts.groupBy("bucket").agg(*sums).toArrow()
+    rows = got["bucket"].to_numpy()
+    for j in range(DIM):
+        table[rows, j] = got[f"v{j}"].to_numpy()
     length = np.linalg.norm(table, axis=1, keepdims=True)
     return np.column_stack([table / np.maximum(length, 1e-9), np.log1p(length) / 10]).astype(np.float32)
 
@@ -182,7 +185,7 @@ def _features(shared):
             for i, j, data, off in textcore.blocks(batch.column(1)):
                 x = features(shared.value, data, off)
                 ends = pa.array(np.arange(j - i + 1, dtype=np.int32) * FEATURES)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["label", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(ends, pa.array(x.ravel().astype(np.float32)))], names=["label", "x"])
 
     return textcore.tidy(run)
 
@@ -197,12 +200,15 @@ def fit(docs: DataFrame, labelled: DataFrame, *, label: str = "quality", max_lab
     shared = docs.sparkSession.sparkContext.broadcast(table)
     # the sample is bounded by max_labelled, so it goes to the texts, which stay where they are
     rows = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").select(F.col("label").cast("double"), "text")
-    got = rows.mapInArrow(_features(shared), "label double, x array<double>").toArrow()
+    got = rows.mapInArrow(_features(shared), "label double, x array<float>").toArrow()
     shared.destroy()
     y = got["label"].to_numpy()
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if len(y) else np.zeros((0, FEATURES))
     order = np.lexsort((*x.T[:8], y)) if len(y) else np.zeros(0, np.int64)  # the same rows in the same order, however they came
-    return Model(table, Network(seed=seed).fit(x[order], y[order]))
+    net = Network(seed=seed).fit(x[order], y[order])
+    del got, x
+    settle(docs.sparkSession)
+    return Model(table, net)
 
 
 def _score(shared):

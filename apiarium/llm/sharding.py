@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from apiarium.scratch import discard, materialize
+from apiarium.scratch import discard, materialize, settle
 
 DIMS = ("d0", "d1", "d2", "d3")
 BINS = 512
@@ -133,6 +133,7 @@ def split(rows: DataFrame, shards: int, tolerance: float = 0.002) -> DataFrame:
         half = F.floor(F.col("m") / 2).cast("int")
         sides = F.array(F.struct((2 * F.col("node") + 1).alias("node"), F.col("first"), half.alias("m")), F.struct((2 * F.col("node") + 2).alias("node"), (F.col("first") + half).alias("first"), (F.col("m") - half).alias("m")))
         nodes = nodes.select(F.explode(F.when(F.col("m") > 1, sides).otherwise(F.array(F.struct("node", "first", "m")))).alias("n")).select("n.*")
+    settle(rows.sparkSession)
     return at.join(nodes.select("node", F.col("first").cast("int").alias("shard")), "node").drop("node")
 
 

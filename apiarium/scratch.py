@@ -91,7 +91,8 @@ def discard(*tables: DataFrame) -> None:
 def settle(spark: SparkSession) -> None:
     """Give back what an operator of many small queries has left on the driver: plans, generated classes, freed memory.
 
-    For the end of an operator, not for its rounds.
+    Called at the end of an operator and between its rounds, each of which plans dozens of
+    queries: a small driver's heap would otherwise grow to its limit and stay there.
     """
     gc.collect()  # plans are held by Python's references to them
     with contextlib.suppress(AttributeError, OSError):  # not the GNU library

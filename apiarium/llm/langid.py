@@ -158,7 +158,8 @@ def sample(train: DataFrame, per_language: int) -> DataFrame:
     hashed = train.select("lang", "text", F.xxhash64("text").alias("h"))
     u = F.pmod("h", F.lit(1 << 40)) / (1 << 40)
     rates = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).select("lang", (F.lit(1.5 * per_language + 50) / F.col("n")).alias("rate"))
-    few = hashed.join(rates, "lang").filter(u < F.col("rate")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    # a row a language, far less than the centroids that every task gets, so texts stay where they are
+    few = hashed.join(F.broadcast(rates), "lang").filter(u < F.col("rate")).groupBy("lang", "h").agg(F.min("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))
     return few.withColumn("place", place).filter(F.col("place") <= per_language).select("lang", "text")
 

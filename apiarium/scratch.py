@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _SEEN: set[str] = set()
@@ -98,6 +99,20 @@ def settle(spark: SparkSession) -> None:
     with contextlib.suppress(AttributeError, OSError):  # not the GNU library
         ctypes.CDLL(None).malloc_trim(0)
     spark.sparkContext._jvm.System.gc()
+    _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """What Java's native allocator holds unused goes back to the system, where the Java machine has the command for it."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    with contextlib.suppress(Py4JError):
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # by reflection on the interface, since the server's own class is not exported
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args[1] = "systemTrimNativeHeap"
+        call.invoke(beans, args)
 
 
 def release(spark: SparkSession) -> None:

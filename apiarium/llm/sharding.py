@@ -2,7 +2,7 @@
 
 Space is cut level by level, all nodes of a level together: a node that owes m shards is
 divided at the weighted quantile floor(m/2)/m along its widest dimension. The quantile comes
-from distributed sums of bytes over 512 bins of each node, refined inside the bin that holds
+from distributed sums of bytes over 4096 bins of each node, refined inside the bin that holds
 it until that bin weighs less than a set part of a leaf. A leaf holds about the target bytes.
 
 Dimensions are source, language, size and doc_id of a *group*: documents of equal text take
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from apiarium.scratch import discard, materialize, settle
 
 DIMS = ("d0", "d1", "d2", "d3")
-BINS = 512
+BINS = 4096
 
 
 def metadata(docs: DataFrame, overhead: int = 16) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from apiarium.llm import decontamination, exact_dedup, mixing, ngram_join, sharding
+from apiarium.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -178,6 +179,31 @@ def test_ngram_join_by_rows(spark):
     assert sorted(r["a.b"] for r in kept.collect()) == ["p", "q", "v", "w", "x", "y", "z"]
 
 
+def _brute_components(links):
+    least = {}
+
+    def root(x):
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        least[max(a, b)] = min(a, b)
+    return {x: root(x) for a, b in links if a != b for x in (a, b)}
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    path = [(i, i + 1) for i in range(40)]
+    hub = [(500, i) for i in range(450, 560)]
+    loose = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    for links in ([], [(3, 3)], [(9, 2), (2, 9), (9, 2)], path, hub, loose):
+        got = components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(got) == len({r["node"] for r in got})
+        assert {r["node"]: r["component"] for r in got} == _brute_components(links)
+
+
 def test_mixing(docs, empty):
     rows = [(r.doc_id, len(SPACED.findall(r.text or "")), r.source) for r in docs.collect()]
     sizes = Counter()

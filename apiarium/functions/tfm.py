@@ -44,14 +44,26 @@ def parsed(tfm: Column) -> Column:
 PLATFORMS = {"android": "monoandroid", "ios": "xamarinios", "maccatalyst": "xamarinmac", "windows": "uap"}
 
 
-def platform_label(tfm: Column) -> Column:
-    """android, ios, maccatalyst or windows: ``-label`` anywhere, or the older name in front; case is ignored, null otherwise."""
-    low, out = F.lower(tfm), F.lit(None).cast("string")
+def _label(holds) -> Column:
+    """The first label of PLATFORMS for which ``holds(label, older name)``; null without one."""
+    out = F.lit(None).cast("string")
     for label, older in reversed(PLATFORMS.items()):
-        out = F.when(low.contains(f"-{label}") | low.startswith(older), F.lit(label)).otherwise(out)
+        out = F.when(holds(label, older), F.lit(label)).otherwise(out)
     return out
 
 
+def suffix_label(tfm: Column) -> Column:
+    """android, ios, maccatalyst or windows by ``-label`` anywhere, whatever the framework's name; case is ignored, null otherwise."""
+    low = F.lower(tfm)
+    return _label(lambda label, _: low.contains(f"-{label}"))
+
+
+def platform_label(tfm: Column) -> Column:
+    """android, ios, maccatalyst or windows: ``-label`` anywhere, or the older name in front; case is ignored, null otherwise."""
+    low = F.lower(tfm)
+    return _label(lambda label, older: low.contains(f"-{label}") | low.startswith(older))
+
+
 def metadata_entries(tfms: Column) -> Column:
     """The frameworks of a library with their labels, and the distinct labels in order."""
     entries = F.transform(tfms, lambda t: F.struct(t.alias("tfm"), platform_label(t).alias("platform")))

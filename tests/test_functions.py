@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from apiarium.functions import markup, text, tfm, uid, url, yaml
+from apiarium.queries import QUERIES
 
 
 def one(spark, column):
@@ -69,6 +70,19 @@ def test_tfm_views(spark):
     assert one(spark, tfm.matches(F.lit("net8.0-ios"), F.lit("NET8.0")))
 
 
+def test_label_of_a_suffix(spark):
+    tags = {"uap10-x": None, "uap10.0": None, "monoandroid12": None, "MonoAndroid12-IOS": "ios", "uap10-windows": "windows", "net8.0-android34": "android", "net8.0-MacCatalyst": "maccatalyst", "net8.0": None, "windows": None, "": None, None: None}
+    assert {t: one(spark, tfm.suffix_label(F.lit(t).cast("string"))) for t in tags} == tags
+    # the older name in front counts in platform_label, and comes first by the order of the labels
+    both = {"uap10-x": "windows", "MonoAndroid12-IOS": "android", "uap10-android": "android", "xamarinios-windows": "ios"}
+    assert {t: one(spark, tfm.platform_label(F.lit(t))) for t in both} == both
+
+
+def test_tfm_parse_labels_by_suffix(spark):
+    got = QUERIES["tfm_parse"](spark, "/root/testdata/sf0.001").select("raw", "platform", "label").distinct().collect()
+    assert {r.raw: r.label for r in got if r.platform} == {"net8.0-android34": "android", "net9.0-windows10.0": "windows", "uap10-x": None, "net8.0-maccatalyst": "maccatalyst"}
+
+
 def test_uids(spark):
     assert one(spark, uid.parent_of(F.lit("T:A.B{C.D}"))) == "T:A"
     assert one(spark, uid.top_level_arguments(F.lit("X{A,B{C,D},E}"))) == 3
